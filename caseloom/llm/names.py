@@ -119,7 +119,7 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return one[-1]
 
 
-_LONG_GIVEN = [g for g in NICKNAMES if len(g) >= 5]
+_LONG_GIVEN = [g for g in NICKNAMES if len(g) >= 4]
 
 
 @lru_cache(maxsize=100_000)
@@ -129,7 +129,7 @@ def canonical_given(word: str) -> tuple[frozenset[str], int]:
         return frozenset(NICKNAMES[word]), 0
     if len(word) >= 4:
         for most in (1, 2) if len(word) >= 7 else (1,):
-            near = [g for g in _LONG_GIVEN if abs(len(g) - len(word)) <= most and distance(word, g, most) <= most]
+            near = [g for g in _LONG_GIVEN if abs(len(g) - len(word)) <= most and (min(len(g), len(word)) > 4 or g[0] == word[0] and len(g) == len(word)) and distance(word, g, most) <= most]
             if near:
                 return frozenset().union(*(NICKNAMES[g] for g in near)), most
     return frozenset(), 0
@@ -146,6 +146,7 @@ class Name:
     middle: str = ""
     family: str = ""
     rest: str = ""
+    cut: bool = False
 
     @property
     def exact(self) -> bool:
@@ -218,8 +219,9 @@ def read(raw: str) -> Name | None:
         return Name(False, family="".join(plain))
     family = others[-1]
     middle = next((p for p in others[:-1]), "")
+    cut = len(family) >= 4 and any(t == family + "." for t in tokens)
     given, _ = canonical_given(first) if len(first) > 1 else (frozenset(), 0)
-    return Name(False, given, first if len(first) > 1 else "", first[0], middle[:1], family)
+    return Name(False, given, first if len(first) > 1 else "", first[0], middle[:1], family, cut=cut)
 
 
 def deletions(s: str) -> set[str]:
@@ -251,6 +253,10 @@ def rewritings(raw: str) -> tuple[tuple[str, str], ...]:
             add(f"f|{g}|{d}", "given name")
     for d in deletions(n.typed) if n.typed else ():
         add(f"t|{d}|{n.family}", "typing")
+    for g in full or {n.initial}:
+        for k in (len(n.family),) if n.cut else range(4, 9):
+            if k < len(n.family) or n.cut:
+                add(f"c|{g}|{n.family[:k]}", "cut short")
     for i in {g[0] for g in full} | {n.initial}:
         for d in deletions(n.family):
             add(f"i|{i}|{d}", "initial")
@@ -274,7 +280,10 @@ def compare(raw_a: str, raw_b: str) -> int:
         same = d <= 1 or (d == 2 and len(a.typed + a.family) >= 12 and a.typed[:1] == b.typed[:1] and min(len(a.typed), len(b.typed)) > 0)
         kinds = not a.rest or not b.rest or distance(a.rest, b.rest, 2) <= 2 and a.rest[:1] == b.rest[:1]
         return FULL if same and d < 2 and kinds else NO
-    d = distance(a.family, b.family, 2)
+    x, y = a.family, b.family
+    if a.cut != b.cut:
+        x, y = (x, y[: len(x)]) if a.cut else (x[: len(y)], y)
+    d = distance(x, y, 2)
     if d > 1 or (d == 1 and min(len(a.family), len(b.family)) < 5):
         return NO
     if a.middle and b.middle and a.middle != b.middle:
