@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.llm.language_runs import fit_profiles, named_language, segment_languages, text_runs
 from caseloom.llm.name_links import row_links
 from caseloom.sources.tables import table
 
 
+def p1_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run of one language in every message, with its confidence."""
+    profiles = fit_profiles(table(spark, folder, "documents"))
+    return text_runs(table(spark, folder, "inbound_message"), profiles, "message_id", "text")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts with a wrong or no label, segments of mixed transcripts, and runs of messages that are not all English."""
+    profiles = fit_profiles(table(spark, folder, "documents"))
+    transcripts = table(spark, folder, "transcript")
+    spoken = segment_languages(transcripts, profiles, "transcript_id", "segments")
+    by_row = spoken.groupBy("row_id", "lang").agg(F.sum("n_chars").alias("n"), F.sort_array(F.collect_list(F.struct("segment_no", "confidence"))).alias("at"))
+    whole = by_row.groupBy("row_id").agg(F.max_by("lang", F.struct("n", F.negate(F.col("at")[0]["segment_no"]))).alias("lang"), F.count("*").alias("languages"))
+    labels = transcripts.select(F.col("transcript_id").cast("long").alias("row_id"), named_language("language").alias("named"))
+    wrong = whole.join(labels, "row_id").where(~F.col("lang").eqNullSafe(F.col("named"))).select("row_id", F.lit(0).cast("long").alias("run_no"), "lang")
+    mixed = by_row.join(whole.where("languages > 1").select("row_id"), "row_id", "left_semi").select("row_id", F.explode("at").alias("s"), "lang")
+    mixed = mixed.select("row_id", F.col("s.segment_no").alias("run_no"), "lang")
+    runs = text_runs(table(spark, folder, "inbound_message"), profiles, "message_id", "text")
+    by_text = runs.groupBy("row_id").agg(F.collect_list(F.struct("run_no", "lang")).alias("runs")).where(F.exists("runs", lambda r: r["lang"] != "en"))
+    messages = by_text.select("row_id", F.inline("runs"))
+    out = wrong.unionByName(mixed).withColumn("table_name", F.lit("transcript")).unionByName(messages.withColumn("table_name", F.lit("inbound_message")))
+    return out.select("table_name", "row_id", "run_no", "lang").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of one upload whose customer names mean the same."""
     rows = table(spark, folder, "spike_bakery_objects")
@@ -16,5 +41,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return links.select(F.col("id_a").cast("long").alias("object_id_a"), F.col("id_b").cast("long").alias("object_id_b")).distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_runs": p1_runs, "p5_found": p5_found}
 SQL: dict[str, str] = {}
