@@ -42,3 +42,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="caseloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """``df`` in enough partitions to keep every core busy with work that costs far more than reading.
+
+    A scan of few or large files gives few tasks; then the rows are dealt out in
+    one exchange, also evening out a partition of long texts. Otherwise ``df``
+    stays as it is.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
