@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseloom.llm import languages
 from caseloom.plans.sizing import spread
@@ -43,10 +42,10 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
 
 
 def text_runs(rows: DataFrame, profiles: languages.Profiles, key: str, text: str) -> DataFrame:
-    """Runs (row_id, run_no, lang, confidence, letters) of consecutive sentences in one language, numbered from 1.
+    """Runs of consecutive sentences in one language: (row_id, runs), where ``runs`` has (run_no, lang, confidence, letters) numbered from 1.
 
-    A text that is null, empty or without words has no runs. Whole texts are
-    read. Repeated rows give repeated runs; other columns are ignored. Rows are
+    A text that is null, empty or without words gives no row. Whole texts are
+    read. Repeated rows give repeated rows; other columns are ignored. Rows are
     independent; they are only dealt out over the cores.
     """
     shared = rows.sparkSession.sparkContext.broadcast(profiles)  # bounded by size and the fixed set of languages
@@ -54,25 +53,29 @@ def text_runs(rows: DataFrame, profiles: languages.Profiles, key: str, text: str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = shared.value
         for pdf in batches:
-            known: dict[str, list[tuple[str, float, int]]] = {}
-            out = []
+            known: dict[str, list[dict]] = {}
+            ids, out = [], []
             for i, t in zip(pdf["row_id"], pdf["text"]):
                 found = known.get(t)
                 if found is None:
-                    found = known[t] = languages.runs(p, t)
-                out += [(i, k, *r) for k, r in enumerate(found, 1)]
-            yield pd.DataFrame(out, columns=["row_id", "run_no", "lang", "confidence", "letters"])
+                    found = known[t] = [{"run_no": k, "lang": r[0], "confidence": r[1], "letters": r[2]} for k, r in enumerate(languages.runs(p, t), 1)]
+                if found:
+                    ids.append(i)
+                    out.append(found)
+            yield pd.DataFrame({"row_id": ids, "runs": out})
 
     named = rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where(F.col("row_id").isNotNull() & (F.length("text") > 0))
-    return spread(named).mapInPandas(run, "row_id long, run_no long, lang string, confidence double, letters long")
+    return spread(named).mapInPandas(run, "row_id long, runs array<struct<run_no:long,lang:string,confidence:double,letters:long>>")
 
 
-def segment_languages(rows: DataFrame, profiles: languages.Profiles, key: str, segments: str) -> DataFrame:
-    """Languages (row_id, segment_no, lang, confidence, n_chars) of the segments of each row.
+def segment_languages(rows: DataFrame, profiles: languages.Profiles, key: str, segments: str, label: str) -> DataFrame:
+    """Languages of the segments of each row: (row_id, lang, named, segments).
 
-    Segments are numbered by position from 1. A segment without words takes the
-    language of the segments around it, as far as any has one; rows without
-    segments give none.
+    ``lang`` is the language of most characters (of equals the one that comes
+    first), ``named`` the one that the label names, or null; ``segments`` has
+    (segment_no, lang, confidence, n_chars) by position from 1. A segment without
+    words takes the language of the segments around it; a row none of whose
+    segments has words gives none.
     """
     shared = rows.sparkSession.sparkContext.broadcast(profiles)
 
@@ -80,20 +83,20 @@ def segment_languages(rows: DataFrame, profiles: languages.Profiles, key: str, s
         p = shared.value
         for pdf in batches:
             out = []
-            for i, texts in zip(pdf["row_id"], pdf["texts"]):
+            for i, name, texts in zip(pdf["row_id"], pdf["label"], pdf["texts"]):
                 texts = [t or "" for t in texts]
-                found = languages.path([p.scores(t) for t in texts])
+                found = languages.path(p, [p.distances(t) for t in texts])
                 last = next((f for f in found if f), None)
+                if last is None:
+                    continue
+                total: Counter = Counter()
+                parts = []
                 for k, (t, f) in enumerate(zip(texts, found), 1):
                     last = f or last
-                    if last:
-                        out.append((i, k, last[0], last[1] if f else 0.0, len(t)))
-            yield pd.DataFrame(out, columns=["row_id", "segment_no", "lang", "confidence", "n_chars"])
-
-    named = rows.select(F.col(key).cast("long").alias("row_id"), F.transform(segments, lambda s: s["text"]).alias("texts")).where(F.col("row_id").isNotNull() & (F.size("texts") > 0))
-    return spread(named).mapInPandas(each, "row_id long, segment_no long, lang string, confidence double, n_chars long")
-
+                    total[last[0]] += len(t)
+                    parts.append({"segment_no": k, "lang": last[0], "confidence": last[1] if f else 0.0, "n_chars": len(t)})
+                out.append((i, total.most_common(1)[0][0], languages.named_language(name), parts))
+            yield pd.DataFrame(out, columns=["row_id", "lang", "named", "segments"])
 
-@F.pandas_udf(T.StringType())
-def named_language(label: pd.Series) -> pd.Series:
-    return label.map(languages.named_language)
+    named = rows.select(F.col(key).cast("long").alias("row_id"), F.col(label).alias("label"), F.transform(segments, lambda s: s["text"]).alias("texts")).where(F.col("row_id").isNotNull() & (F.size("texts") > 0))
+    return spread(named).mapInPandas(each, "row_id long, lang string, named string, segments array<struct<segment_no:long,lang:string,confidence:double,n_chars:long>>")

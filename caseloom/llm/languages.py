@@ -137,12 +137,14 @@ def profile_counts(language: str, texts: list[str]) -> Counter:
 
 @dataclass
 class Profiles:
-    """Rank matrix of all profiles: ``ranks[index[gram], p]`` of profile ``p``, whose language is ``languages[p]``."""
+    """Rank matrix of all profiles: ``ranks[index[gram], p]`` of profile ``p``, whose language is ``languages[p]``; a language may have one for each of its scripts."""
 
     languages: tuple[str, ...]
     index: dict[str, int]
     ranks: np.ndarray
     penalty: float
+    names: tuple[str, ...] = ()
+    of: np.ndarray | None = None
     words: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
     seen: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
 
@@ -160,10 +162,12 @@ class Profiles:
         for p, (_, grams) in enumerate(tops):
             for r, g in enumerate(grams):
                 ranks[index[g], p] = r
-        return Profiles(tuple(k for k, _ in tops), index, ranks, float(size))
+        languages = tuple(k for k, _ in tops)
+        names = tuple(sorted(set(languages)))
+        return Profiles(languages, index, ranks, float(size), names, np.array([names.index(k) for k in languages]))
 
     def distances(self, text: str) -> tuple[np.ndarray | None, int]:
-        """Mean out-of-place distance to each profile, from 0 to 1, and the number of letters; None if nothing carries language."""
+        """Mean out-of-place distance to each language (of ``names``) by its nearest profile, from 0 to 1, and the number of letters; None if nothing carries language."""
         found = words(text)
         letters = sum(len(w) for w in found)
         if letters < 2:
@@ -178,7 +182,8 @@ class Profiles:
         place = np.arange(len(rows), dtype=np.float32)[:, None]
         out = np.minimum(np.abs(self.ranks[rows] - place), self.penalty)
         out[rows == len(self.index)] = self.penalty
-        result = weight @ out / (weight.sum() * self.penalty)
+        each = weight @ out / (weight.sum() * self.penalty)
+        result = np.array([each[self.of == k].min() for k in range(len(self.names))])
         if len(self.seen) >= 100_000:
             self.seen.clear()
         self.seen[key] = result
@@ -195,16 +200,6 @@ class Profiles:
             self.words[word] = known
         return known
 
-    def scores(self, text: str) -> tuple[dict[str, float] | None, int]:
-        """Least distance by language."""
-        d, letters = self.distances(text)
-        if d is None:
-            return None, 0
-        out: dict[str, float] = {}
-        for lang, x in zip(self.languages, d):
-            out[lang] = min(out.get(lang, 2.0), float(x))
-        return out, letters
-
 
 _END = re.compile(r"(?<=[.!?؟۔।…])[\"”»)\]]*\s+|\n+")
 _NO_END = re.compile(r"(?i)(?:(?<![^\W_])(?:mr|mrs|ms|dr|no|nr|avda|[^\W\d_]*str|ave|st|rd|sh|md|bzw|sr|sra|tel|approx|e\.g|i\.e|p\.m|a\.m)|(?<![^\W_])[^\W\d_])\.$")
@@ -229,36 +224,42 @@ def sentences(text: str) -> list[str]:
 SWITCH = 0.9
 
 
-def path(scored: list[tuple[dict[str, float] | None, int]]) -> list[tuple[str, float] | None]:
+def path(profiles: Profiles, scored: list[tuple[np.ndarray | None, int]]) -> list[tuple[str, float] | None]:
     """Language and confidence of consecutive sentences: the path of least total distance, where a change of language costs ``SWITCH`` letters' worth of distance."""
-    live = [(i, s, n) for i, (s, n) in enumerate(scored) if s is not None]
+    live = [i for i, (s, _) in enumerate(scored) if s is not None]
     out: list[tuple[str, float] | None] = [None] * len(scored)
     if not live:
         return out
-    langs = sorted(live[0][1])
-    cost = np.array([[s[k] * min(n, 60) for k in langs] for _, s, n in live])
-    best, back = cost[0].copy(), []
-    for row in cost[1:]:
-        stay, move = best, best.min() + SWITCH
-        back.append(np.where(stay <= move, np.arange(len(langs)), int(best.argmin())))
-        best = np.minimum(stay, move) + row
-    k = int(best.argmin())
-    chosen = [k]
-    for b in reversed(back):
-        k = int(b[k])
-        chosen.append(k)
-    for (i, s, _), k in zip(live, reversed(chosen)):
-        other = min(v for key, v in s.items() if key != langs[k])
-        own = s[langs[k]]
-        out[i] = (langs[k], float(np.clip(0.5 + 2.5 * (other - own) / max(other, 1e-6), 0.0, 1.0)))
+    chosen = [int(scored[i][0].argmin()) for i in live]
+    if len(set(chosen)) > 1:
+        cost = np.array([scored[i][0] * min(scored[i][1], 60) for i in live])
+        best, back = cost[0].copy(), []
+        stay_at = np.arange(cost.shape[1])
+        for row in cost[1:]:
+            move = best.min() + SWITCH
+            back.append(np.where(best <= move, stay_at, int(best.argmin())))
+            best = np.minimum(best, move) + row
+        k = int(best.argmin())
+        chosen = [k]
+        for b in reversed(back):
+            k = int(b[k])
+            chosen.append(k)
+        chosen.reverse()
+    for i, k in zip(live, chosen):
+        d = scored[i][0]
+        own = float(d[k])
+        rest = d.tolist()
+        del rest[k]
+        other = min(rest, default=1.0)
+        out[i] = (profiles.names[k], min(1.0, max(0.0, 0.5 + 2.5 * (other - own) / max(other, 1e-6))))
     return out
 
 
 def runs(profiles: Profiles, text: str) -> list[tuple[str, float, int]]:
     """Longest runs of consecutive sentences in one language as (language, confidence, letters)."""
-    scored = [profiles.scores(s) for s in sentences(text)]
+    scored = [profiles.distances(s) for s in sentences(text)]
     out: list[tuple[str, float, int]] = []
-    for found, (_, n) in zip(path(scored), scored):
+    for found, (_, n) in zip(path(profiles, scored), scored):
         if found is None:
             continue
         if out and out[-1][0] == found[0]:
