@@ -17,6 +17,7 @@ import numpy as np
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, OVERLAP = 160, 48
+BATCH = 128
 MODEL_FILE = Path(__file__).with_name("models") / "pii_bilstm_crf.npz"
 
 _ASCII_DIGITS = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९")}
@@ -34,48 +35,49 @@ def bucket(ch: str) -> int:
 
 
 class Vocabulary:
-    """Ids of characters by table over the basic plane."""
+    """Ids of characters: a table over the basic plane, categories beyond it."""
 
     def __init__(self, chars: str) -> None:
-        self.chars = chars
         self.size = len(BUCKETS) + len(chars)
-        self._ids = {c: i + len(BUCKETS) for i, c in enumerate(chars)}
+        known = {c: i + len(BUCKETS) for i, c in enumerate(chars)}
+        plain = [chr(i).translate(_ASCII_DIGITS) for i in range(0x10000)]
+        self._table = np.array([known[c] if c in known else bucket(c) for c in plain], np.int32)
 
     def encode(self, text: str) -> np.ndarray:
-        ids = self._ids
-        out = np.empty(len(text), np.int32)
-        for i, c in enumerate(text.translate(_ASCII_DIGITS)):
-            k = ids.get(c)
-            if k is None:
-                k = ids[c] = bucket(c)
-            out[i] = k
-        return out
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.clip(x, -30, 30, out=x)
-    np.exp(x, out=x)
-    x += 1
-    np.reciprocal(x, out=x)
-    return x
-
-
-def lstm(p: np.ndarray, wh: np.ndarray) -> np.ndarray:
-    """Hidden states (T, 2, B, H) of both directions at once; ``p`` holds the projected inputs (T, 2, B, 4H) in gate order i f o g."""
-    steps, _, batch, four = p.shape
-    h4 = four // 4
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        high = points > 0xFFFF
+        if high.any():
+            out = self._table[np.where(high, 0, points)]
+            out[high] = [bucket(chr(i)) for i in points[high]]
+            return out
+        return self._table[points]
+
+
+def lstm(tables: np.ndarray, ids: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    """Hidden states (T, 2, B, H) of both directions at once for ids (T, 2, B).
+
+    Gates are in order i f o g. The inputs of the sigmoid gates are halved
+    beforehand, so that one hyperbolic tangent serves all four.
+    """
+    steps, _, batch = ids.shape
+    h4 = wh.shape[1]
     h = np.zeros((2, batch, h4), np.float32)
     c = np.zeros_like(h)
     out = np.empty((steps, 2, batch, h4), np.float32)
+    z = np.empty((2, batch, 4 * h4), np.float32)
     for t in range(steps):
-        z = np.matmul(h, wh)
-        z += p[t]
-        gates = _sigmoid(z[..., : 3 * h4])
-        g = np.tanh(z[..., 3 * h4 :])
-        c = gates[..., h4 : 2 * h4] * c + gates[..., :h4] * g
-        h = gates[..., 2 * h4 :] * np.tanh(c)
-        out[t] = h
+        np.matmul(h, wh, out=z)
+        z[0] += tables[0][ids[t, 0]]
+        z[1] += tables[1][ids[t, 1]]
+        np.tanh(z, out=z)
+        gates = z[..., : 3 * h4]
+        gates *= 0.5
+        gates += 0.5
+        c *= gates[..., h4 : 2 * h4]
+        c += gates[..., :h4] * z[..., 3 * h4 :]
+        h = out[t]
+        np.tanh(c, out=h)
+        h *= gates[..., 2 * h4 :]
     return out
 
 
@@ -85,11 +87,20 @@ class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.vocab = Vocabulary(str(weights["chars"]))
         w = {k: v.astype(np.float32) for k, v in weights.items() if k != "chars"}
-        self.table = np.einsum("ve,deh->vdh", w["emb"], w["wx"]) + w["b"][None]  # (V, 2, 4H)
-        self.table = np.ascontiguousarray(self.table, np.float32)
-        self.wh, self.wo, self.bo = w["wh"], w["wo"], w["bo"]
+        table = np.einsum("ve,deh->dvh", w["emb"], w["wx"]) + w["b"][:, None]
+        hid = self.hidden = w["wh"].shape[1]
+        table[..., : 3 * hid] *= 0.5
+        self.tables = np.ascontiguousarray(table, np.float32)  # (2, V, 4H)
+        self.wh = w["wh"].copy()
+        self.wh[..., : 3 * hid] *= 0.5
+        self.wo, self.bo = w["wo"], w["bo"]
         self.trans, self.start = w["trans"], w["start"]
-        self.hidden = self.wh.shape[1]
+        # what a path can gain on staying outside all details: on entering, inside and on leaving one
+        stay = float(self.trans[0, 0])
+        self.enter = self.trans[0, 1:] - stay
+        self.inside = float(self.trans[1:, 1:].max()) - stay
+        self.leave = float(self.trans[1:, 0].max()) - stay
+        self.begin = self.start[1:] - self.start[0]
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -102,24 +113,21 @@ class Tagger:
         """Emission scores (length, tags) of windows; run in batches of like length."""
         order = np.argsort([len(w) for w in windows], kind="stable")
         out: list[np.ndarray] = [None] * len(windows)  # type: ignore[list-item]
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
             lens = np.array([len(windows[i]) for i in part])
             steps = int(lens.max())
-            fwd = np.zeros((steps, len(part)), np.int32)
-            bwd = np.zeros((steps, len(part)), np.int32)
+            ids = np.zeros((steps, 2, len(part)), np.int32)
             for j, i in enumerate(part):
                 w = windows[i]
-                fwd[: len(w), j] = w
-                bwd[: len(w), j] = w[::-1]
-            p = np.stack((self.table[fwd, 0], self.table[bwd, 1]), 1)
-            h = lstm(p, self.wh)
+                ids[: len(w), 0, j] = w
+                ids[: len(w), 1, j] = w[::-1]
+            h = lstm(self.tables, ids, self.wh)
+            fwd = h[:, 0] @ self.wo[: self.hidden] + self.bo
+            bwd = h[:, 1] @ self.wo[self.hidden :]
             for j, i in enumerate(part):
                 n = lens[j]
-                e = h[:n, 0, j] @ self.wo[: self.hidden]
-                e += (h[:n, 1, j] @ self.wo[self.hidden :])[::-1]
-                e += self.bo
-                out[i] = e
+                out[i] = fwd[:n, j] + bwd[:n, j][::-1]
         return out
 
     def emissions(self, texts: list[str]) -> list[np.ndarray]:
@@ -159,10 +167,39 @@ class Tagger:
             first = last
         return out
 
+    def _may_hold_details(self, emissions: list[np.ndarray]) -> np.ndarray:
+        """Texts whose best path may leave the outside tag: all but those where even an upper bound of every stretch's gain is negative."""
+        order = np.argsort([len(e) for e in emissions], kind="stable")
+        keep = []
+        at = 0
+        while at < len(order):
+            n = len(emissions[order[at]])
+            part = [i for i in order[at : at + 512] if len(emissions[i]) <= max(n + 64, int(n * 1.5))]
+            at += len(part)
+            lens = np.array([len(emissions[i]) for i in part])
+            steps = int(lens.max(initial=0))
+            if not steps:
+                continue
+            enter = np.full((steps, len(part)), -1e9, np.float32)
+            go_on = np.full((steps, len(part)), -1e9, np.float32)
+            for j, i in enumerate(part):
+                d = emissions[i][:, 1:] - emissions[i][:, :1]
+                go_on[: lens[j], j] = d.max(1) + self.inside
+                enter[: lens[j], j] = (d + self.enter).max(1)
+                enter[0, j] = (d[0] + self.begin).max()
+            k = enter[0]
+            best = k + np.where(lens == 1, 0, self.leave)
+            for t in range(1, steps):
+                k = np.maximum(enter[t], k + go_on[t])
+                best = np.maximum(best, k + np.where(lens == t + 1, 0, self.leave))
+            keep += [i for i, b in zip(part, best) if b > -1e-3]
+        return np.array(keep, np.int64)
+
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """Best tag paths by Viterbi, in batches of like length."""
-        order = np.argsort([len(e) for e in emissions], kind="stable")
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(emissions)
+        out: list[np.ndarray] = [np.zeros(len(e), np.int8) for e in emissions]
+        open_ = self._may_hold_details(emissions)
+        order = open_[np.argsort([len(emissions[i]) for i in open_], kind="stable")]
         at = 0
         while at < len(order):
             n = len(emissions[order[at]])

@@ -10,6 +10,7 @@ from caseloom.llm.language_runs import fit_profiles, segment_languages, text_run
 from caseloom.llm.mixing import mix, share_report
 from caseloom.llm.name_links import row_links
 from caseloom.llm.packing import fill_report, pack
+from caseloom.llm.pii import personal_details
 from caseloom.llm.term_bitmaps import marked, normal_term, term_bitmaps, term_frequencies
 from caseloom.llm.tokens import with_tokens
 from caseloom.plans.sizing import cut
@@ -49,6 +50,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_frequencies(spark, folder).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def p4_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value with personal details, with their places and with placeholders instead of them."""
+    messages = personal_details(table(spark, folder, "inbound_message"), "message_id", {"text": F.col("text"), "sender": F.col("sender")})
+    labels = personal_details(table(spark, folder, "cfpb_labels"), "id", {"gold_key_facts": F.col("gold_key_facts")})
+    return messages.withColumn("table_name", F.lit("inbound_message")).unionByName(labels.withColumn("table_name", F.lit("cfpb_labels")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mention of a personal detail."""
+    return p4_masked(spark, folder).select("table_name", "row_id", "field_name", F.inline("spans")).select("table_name", "row_id", "field_name", "kind", "start_pos")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of one upload whose customer names mean the same."""
     rows = table(spark, folder, "spike_bakery_objects")
@@ -92,7 +105,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p5_found": p5_found,
+    "p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found,
     "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
