@@ -171,9 +171,8 @@ def sensitive_name(name: Column) -> Column:
     for category, words in reversed(SENSITIVE_WORDS.items()):
         listed = words.split()
         hit = F.arrays_overlap(t, F.array(*[F.lit(w) for w in listed]))
-        for w in listed:
-            if "_" in w:
-                hit = hit | F.contains(flat, F.lit(w.replace("_", "")))
+        if joined := "|".join(w.replace("_", "") for w in listed if "_" in w):
+            hit = hit | flat.rlike(joined)
         out = F.when(hit, category).otherwise(out)
     return out
 

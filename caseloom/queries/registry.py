@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caseloom.queries import timestamps
+from caseloom.queries import projection, schema_growth, sessions, timestamps
 
-MODULES = (timestamps,)
-FLAGSHIP = "p3_found"
+MODULES = (projection, schema_growth, sessions, timestamps)
+FLAGSHIP = "current_projection"
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
