@@ -197,7 +197,7 @@ def masked(c: Column) -> Column:
 
 def without_marks(c: Column) -> Column:
     """The text without direction marks and with plain spaces, trimmed."""
-    return F.trim(F.translate(c, "  ‎‏‪‫‬⁦⁧⁨⁩", "  "))
+    return F.trim(F.translate(c, "\u202f\u00a0\u200e\u200f\u202a\u202b\u202c\u2066\u2067\u2068\u2069", "  "))
 
 
 def fingerprint(c: Column, length: int = 200) -> Column:
