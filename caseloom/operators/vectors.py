@@ -47,7 +47,7 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, count_
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         if x.empty or y.empty:
-            return pd.DataFrame({"g": [], "id_a": [], "id_b": [], "similarity": []})
+            return pd.DataFrame({"g": pd.Series([], dtype=object), "id_a": pd.Series([], dtype="int64"), "id_b": pd.Series([], dtype="int64"), "similarity": pd.Series([], dtype="float64")})
         ids_x, ids_y = x["id"].to_numpy(), y["id"].to_numpy()
         right_unit = _unit(list(y["v"])).T
         out = []
@@ -64,8 +64,8 @@ def block_pairs(left: DataFrame, right: DataFrame, key: str, vector: str, count_
                 good = np.isfinite(sims[i, j])
                 i, j = i[good], j[good]
             out.append(pd.DataFrame({"id_a": ids_x[at + i], "id_b": ids_y[j], "similarity": sims[i, j]}))
-        found = pd.concat(out)
-        found.insert(0, "g", pdf["g"].iloc[0])
+        found = pd.concat(out, ignore_index=True)
+        found.insert(0, "g", pd.Series([str(pdf["g"].iloc[0])] * len(found), dtype=object))
         return found
 
     return a.unionByName(b).groupBy("g", "task").applyInPandas(meet, "g string, id_a long, id_b long, similarity double")
