@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import languages
-from caseloom.plans.sizing import spread
+from caseloom.plans.sizing import cores, spread
 
 #: Signs of a wrongly decoded text; such rows make no profile.
 _GARBLED = r"[\u0080-\u009f�]|[ÃÂØÙÚÛ][^\sA-Za-z]|â€|&[A-Za-z]+;|à[¤¥]"
@@ -33,7 +33,7 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
                 grams = languages.profile_counts(lang_, list(part["text"]))
                 yield pd.DataFrame({"lang": lang_, "gram": list(grams), "n": list(grams.values())})
 
-    grams = picked.select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = picked.select("lang", "text").repartition(cores(documents, 2)).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     counts: dict[str, Counter] = {}
     for r in top.select("lang", "gram", "n").collect():  # at most size rows for each of a fixed set of languages
