@@ -44,12 +44,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
-    """``df`` in enough partitions to keep every core busy with work that costs far more than reading.
+def cores(df: DataFrame, tasks_per_core: int = 4) -> int:
+    """Number of tasks that keeps every core busy."""
+    return df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
 
-    A scan of few or large files gives few tasks; then the rows are dealt out in
-    one exchange, also evening out a partition of long texts. Otherwise ``df``
-    stays as it is.
+
+def spread(scan: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """A scan in enough partitions to keep every core busy with work that costs far more than reading.
+
+    Few or large files give few tasks; then the rows are dealt out in one
+    exchange, which also evens out a partition of long texts. Otherwise the frame
+    stays as it is. Only for frames without an exchange: asking another for its
+    partitions would run it; repartition that to :func:`cores`.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism * tasks_per_core
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    want = cores(scan, tasks_per_core)
+    return scan if scan.rdd.getNumPartitions() >= want else scan.repartition(want)
