@@ -59,8 +59,8 @@ def read_objects(spark: SparkSession, path: str) -> DataFrame:
     if head == "[":
         return read_json(spark, path)
     if head == "{":
-        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", "^﻿", "")).isNotNull()).first()
-        return read_json(spark, path) if whole and whole[0] else read_jsonl(spark, path)
+        lines = spark.read.text(path).where(F.trim("value") != "").select(F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).isNotNull().alias("whole")).limit(2).collect()
+        return read_jsonl(spark, path) if len(lines) > 1 and lines[0].whole else read_json(spark, path)
     if not head:
         raise ValueError(f"nothing to read in {path}")
     return read_csv(spark, path)
