@@ -62,7 +62,8 @@ def text_runs(rows: DataFrame, profiles: languages.Profiles, key: str, text: str
                 if found:
                     ids.append(i)
                     out.append(found)
-            yield pd.DataFrame({"row_id": ids, "runs": out})
+            if ids:
+                yield pd.DataFrame({"row_id": ids, "runs": out})
 
     named = rows.select(F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).where(F.col("row_id").isNotNull() & (F.length("text") > 0))
     return spread(named).mapInPandas(run, "row_id long, runs array<struct<run_no:long,lang:string,confidence:double,letters:long>>")
@@ -96,7 +97,8 @@ def segment_languages(rows: DataFrame, profiles: languages.Profiles, key: str, s
                     total[last[0]] += len(t)
                     parts.append({"segment_no": k, "lang": last[0], "confidence": last[1] if f else 0.0, "n_chars": len(t)})
                 out.append((i, total.most_common(1)[0][0], languages.named_language(name), parts))
-            yield pd.DataFrame(out, columns=["row_id", "lang", "named", "segments"])
+            if out:
+                yield pd.DataFrame(out, columns=["row_id", "lang", "named", "segments"])
 
     named = rows.select(F.col(key).cast("long").alias("row_id"), F.col(label).alias("label"), F.transform(segments, lambda s: s["text"]).alias("texts")).where(F.col("row_id").isNotNull() & (F.size("texts") > 0))
     return spread(named).mapInPandas(each, "row_id long, lang string, named string, segments array<struct<segment_no:long,lang:string,confidence:double,n_chars:long>>")

@@ -93,6 +93,8 @@ def personal_details(rows: DataFrame, key: str, fields: dict[str, Column], model
                 found += [checked(t, s) for t, s in zip(texts[at:end], tagger.spans(texts[at:end]))]
                 at = end
             keep = [i for i, c in enumerate(codes) if found[c]]
+            if not keep:
+                continue
             part = pdf.iloc[keep]
             yield pd.DataFrame({
                 "row_id": part["row_id"].to_numpy(), "field_name": part["field_name"].to_numpy(),
