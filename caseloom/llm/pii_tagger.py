@@ -53,11 +53,31 @@ class Vocabulary:
         return self._table[points]
 
 
-def lstm(tables: np.ndarray, ids: np.ndarray, wh: np.ndarray) -> np.ndarray:
+#: Steps of the tables of activations for each unit of their argument.
+STEPS = 256
+
+
+class Activations:
+    """Sigmoid and hyperbolic tangent by lookup, side by side in one table over [-reach, reach].
+
+    Arguments come scaled by ``STEPS`` and shifted to the table's rows, which is
+    folded into the weights; ``reach`` bounds every argument, so none can leave
+    its table. The error is at most half a step.
+    """
+
+    def __init__(self, reach: float) -> None:
+        self.half = int(np.ceil(reach)) * STEPS
+        x = np.arange(-self.half, self.half + 1, dtype=np.float64) / STEPS
+        self.table = np.concatenate((1 / (1 + np.exp(-x)), np.tanh(x))).astype(np.float32)
+        self.sigmoid_at = self.half + 0.5
+        self.tanh_at = 3 * self.half + 1.5
+
+
+def lstm(tables: np.ndarray, ids: np.ndarray, wh: np.ndarray, act: Activations) -> np.ndarray:
     """Hidden states (T, 2, B, H) of both directions at once for ids (T, 2, B).
 
-    Gates are in order i f o g. The inputs of the sigmoid gates are halved
-    beforehand, so that one hyperbolic tangent serves all four.
+    Gates are in order i f o g; ``tables`` and ``wh`` give their arguments as rows
+    of the activations' table.
     """
     steps, _, batch = ids.shape
     h4 = wh.shape[1]
@@ -65,19 +85,24 @@ def lstm(tables: np.ndarray, ids: np.ndarray, wh: np.ndarray) -> np.ndarray:
     c = np.zeros_like(h)
     out = np.empty((steps, 2, batch, h4), np.float32)
     z = np.empty((2, batch, 4 * h4), np.float32)
+    rows = np.empty(z.shape, np.intp)
+    cell = np.empty_like(h)
+    cell_rows = np.empty(h.shape, np.intp)
     for t in range(steps):
         np.matmul(h, wh, out=z)
         z[0] += tables[0][ids[t, 0]]
         z[1] += tables[1][ids[t, 1]]
-        np.tanh(z, out=z)
-        gates = z[..., : 3 * h4]
-        gates *= 0.5
-        gates += 0.5
-        c *= gates[..., h4 : 2 * h4]
-        c += gates[..., :h4] * z[..., 3 * h4 :]
+        np.copyto(rows, z, casting="unsafe")
+        np.take(act.table, rows, out=z, mode="clip")
+        c *= z[..., h4 : 2 * h4]
+        c += z[..., :h4] * z[..., 3 * h4 :]
+        np.multiply(c, STEPS, out=cell)
+        np.clip(cell, -act.half, act.half, out=cell)
+        cell += act.tanh_at
+        np.copyto(cell_rows, cell, casting="unsafe")
         h = out[t]
-        np.tanh(c, out=h)
-        h *= gates[..., 2 * h4 :]
+        np.take(act.table, cell_rows, out=h, mode="clip")
+        h *= z[..., 2 * h4 : 3 * h4]
     return out
 
 
@@ -89,10 +114,12 @@ class Tagger:
         w = {k: v.astype(np.float32) for k, v in weights.items() if k != "chars"}
         table = np.einsum("ve,deh->dvh", w["emb"], w["wx"]) + w["b"][:, None]
         hid = self.hidden = w["wh"].shape[1]
-        table[..., : 3 * hid] *= 0.5
+        self.act = Activations(float(np.abs(table).max() + np.abs(w["wh"]).sum(1).max()) + 1)
+        table = table * STEPS
+        table[..., : 3 * hid] += self.act.sigmoid_at
+        table[..., 3 * hid :] += self.act.tanh_at
         self.tables = np.ascontiguousarray(table, np.float32)  # (2, V, 4H)
-        self.wh = w["wh"].copy()
-        self.wh[..., : 3 * hid] *= 0.5
+        self.wh = (w["wh"] * STEPS).astype(np.float32)
         self.wo, self.bo = w["wo"], w["bo"]
         self.trans, self.start = w["trans"], w["start"]
         # what a path can gain on staying outside all details: on entering, inside and on leaving one
@@ -122,7 +149,7 @@ class Tagger:
                 w = windows[i]
                 ids[: len(w), 0, j] = w
                 ids[: len(w), 1, j] = w[::-1]
-            h = lstm(self.tables, ids, self.wh)
+            h = lstm(self.tables, ids, self.wh, self.act)
             fwd = h[:, 0] @ self.wo[: self.hidden] + self.bo
             bwd = h[:, 1] @ self.wo[self.hidden :]
             for j, i in enumerate(part):
