@@ -31,7 +31,8 @@ def fit_profiles(documents: DataFrame, text: str = "text", lang: str = "lang", k
         for pdf in batches:
             for lang_, part in pdf.groupby("lang"):
                 grams = languages.profile_counts(lang_, list(part["text"]))
-                yield pd.DataFrame({"lang": lang_, "gram": list(grams), "n": list(grams.values())})
+                if grams:
+                    yield pd.DataFrame({"lang": lang_, "gram": list(grams), "n": list(grams.values())})
 
     grams = picked.select("lang", "text").repartition(cores(documents, 2)).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
