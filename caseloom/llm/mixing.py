@@ -12,6 +12,8 @@ from caseloom.plans.sizing import cut
 
 #: Blocks that each source is cut into; the plan on the driver has at most this times the sources and repeats rows.
 BLOCKS = 1024
+#: Sources with targets; more would make the plan too large for the driver.
+MOST_SOURCES = 2000
 SHARD_TOKENS = 50_000_000
 LEAST_SHARDS, MOST_SHARDS = 16, 4096
 
@@ -115,7 +117,9 @@ def mix(items: DataFrame, targets: DataFrame, item: str, size: str, source: str,
     named = named.join(wanted_of.select("source"), "source", "left_semi")
     named = named.withColumn("h", F.xxhash64(F.lit(seed), "source", "item_id")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     named = cut(named)
-    known = {r.source: (r.share, r.repeats) for r in wanted_of.limit(100_000).collect()}
+    known = {r.source: (r.share, r.repeats) for r in wanted_of.limit(MOST_SOURCES + 1).collect()}
+    if len(known) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources have targets")
     sizes: dict[str, np.ndarray] = {s: np.zeros(blocks, np.int64) for s in known}
     for r in named.groupBy("source", "block").agg(F.sum("size").alias("n")).collect():  # at most sources times blocks rows
         sizes[r.source][r.block] = r.n
@@ -140,6 +144,6 @@ def share_report(mixed: DataFrame, targets: DataFrame, source: str, share: str,
     used = mixed.groupBy("source").agg(F.sum("size").alias("tokens"), F.max("repeat_no").alias("most_repeats"), F.count("*").alias("items"))
     total = used.agg(F.sum("tokens").alias("all_tokens"))
     goals = targets.select(F.col(source).alias("source"), F.col(share).alias("target_share"), F.col(repeats).alias("max_repeats"))
-    out = goals.join(used, "source", "left").crossJoin(F.broadcast(total))
+    out = goals.join(used, "source", "left").withColumn("all_tokens", total.scalar())
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("source", "target_share", "max_repeats", zero("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), zero("items"))

@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Every item is packed once for each kind, so kinds are few.
+MOST_KINDS = 1000
+
+
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> tuple[int, dict[int, int]]:
     """The greatest total up to ``room`` that a multiset of lengths reaches, and how often each is used.
 
@@ -93,9 +97,12 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: st
     non-positive capacity, are left out. Repeated item identifiers are packed
     each time. Ties follow a hash of the identifier, then the identifier.
     """
-    kinds = capacities.where(F.col(capacity) > 0).select(F.col(kind).alias("container_kind"), F.col(capacity).cast("long").alias("capacity")).distinct()
+    named = capacities.where(F.col(capacity) > 0).select(F.col(kind).alias("container_kind"), F.col(capacity).cast("long").alias("capacity")).distinct().limit(MOST_KINDS + 1).collect()
+    if len(named) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    kinds = F.array(*[F.struct(F.lit(r.container_kind).alias("container_kind"), F.lit(r.capacity).alias("capacity")) for r in named]) if named else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     sized = items.where((F.col(size) > 0) & F.col(item).isNotNull()).select(F.col(item).alias("item_id"), F.col(size).cast("long").alias("size"))
-    both = sized.crossJoin(F.broadcast(kinds.limit(1000)))
+    both = sized.select("item_id", "size", F.inline(kinds))
     full = both.where("size >= capacity").select("container_kind", "capacity", "item_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / F.col("capacity")) - 1)).alias("p"))
     full = full.select("container_kind", F.concat_ws("-", F.lit("full"), "item_id", F.xxhash64("item_id", "size"), "p").alias("container_id"), "item_id", (F.col("p") + 1).cast("int").alias("piece_no"), (F.col("p") * F.col("capacity")).alias("start"), F.col("capacity").alias("length"))
     rest = both.select("container_kind", "capacity", "item_id", F.floor(F.col("size") / F.col("capacity")).alias("p"), (F.col("size") % F.col("capacity")).alias("length")).where("length > 0")
@@ -114,7 +121,7 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: st
     by_length = plans.groupBy("container_kind", "length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "ranks", "per_bin", "first_bin"))).alias("plan"))
     ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("container_kind", "length", "salt").orderBy(F.xxhash64("item_id"), "item_id")) - 1)
     placed = ranked.join(offsets.select("container_kind", "length", "salt", "before"), ["container_kind", "length", "salt"]).withColumn("rank", F.col("k") + F.col("before"))
-    placed = placed.join(by_length, ["container_kind", "length"])
+    placed = placed.join(F.broadcast(by_length), ["container_kind", "length"])  # one row a length of each kind, whatever the number of items
     # the plan's steps are in order of rank: the wanted one is the last that begins at or before it
     step = F.element_at(F.filter("plan", lambda s: s["first_rank"] <= F.col("rank")), -1)
     placed = placed.withColumn("s", step)

@@ -101,8 +101,7 @@ def term_frequencies(bitmaps: DataFrame) -> DataFrame:
 
 def marked(frequencies: DataFrame, total: DataFrame, least: int, most_share: float) -> DataFrame:
     """Frequencies with ``mark``: ``rare`` below ``least`` records, ``common`` above ``most_share`` of all records (one row, column ``records_total``), else null. A term that is both is rare."""
-    mark = F.when(F.col("records") < least, "rare").when(F.col("records") > most_share * F.col("records_total"), "common")
-    return frequencies.crossJoin(F.broadcast(total)).withColumn("mark", mark).drop("records_total")
+    return frequencies.withColumn("mark", F.when(F.col("records") < least, "rare").when(F.col("records") > most_share * total.scalar(), "common"))
 
 
 def normal_term(c: Column) -> Column:
