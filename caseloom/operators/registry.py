@@ -65,16 +65,23 @@ def dedup_band(similarity: Column, merge: float = 0.85, admit: float = 0.70) ->
     return F.when(similarity.isNull(), "seed").when(similarity >= merge, "merge").when(similarity < admit, "admit_new").otherwise("adjudicate")
 
 
-def canonicalise(names: DataFrame, head: str, name: str, vector: str, order: str, merge: float = 0.85, parts: int = 32) -> DataFrame:
+#: Most names of one head that a task works off; a larger head fails by name instead of running out of memory.
+MOST_NAMES = 500_000
+
+
+def canonicalise(names: DataFrame, head: str, name: str, vector: str, order: str, merge: float = 0.85) -> DataFrame:
     """Sequential canonicalisation within each head: (head, name, canonical, similarity, method).
 
     In order, each name joins the most similar canonical made so far if that is at
     least ``merge``, else it becomes one. The result depends on the order, so a
-    head is worked off by one task; each name occurs once, which bounds a head by
-    its distinct names. Ties of similarity go to the canonical that came first.
+    head is worked off by one task; only its distinct names reach it (the first
+    of each by order), and at most ``MOST_NAMES``: a larger head fails by name.
+    Ties of similarity go to the canonical that came first.
     """
     import numpy as np
 
+    from caseloom.operators.ordered import first_by
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order_key", "name"], kind="stable")
         width = len(pdf["vector"].iloc[0]) if len(pdf) else 0
@@ -98,4 +105,8 @@ def canonicalise(names: DataFrame, head: str, name: str, vector: str, order: str
         return result
 
     rows = names.select(F.col(head).cast("string").alias("head"), F.col(name).cast("string").alias("name"), F.col(vector).alias("vector"), F.col(order).alias("order_key"))
-    return rows.where(F.col("head").isNotNull() & F.col("vector").isNotNull()).groupBy("head").applyInPandas(one, "head string, name string, canonical string, similarity double, method string")
+    rows = first_by(rows.where(F.col("head").isNotNull() & F.col("vector").isNotNull()), ["head", "name"], ["order_key"], ["vector", "order_key"])
+    sizes = rows.groupBy("head").agg(F.count("*").alias("_n"))
+    fits = F.when(F.col("_n") > MOST_NAMES, F.raise_error(F.concat(F.lit("too many names under "), F.col("head")))).otherwise(F.lit(True))
+    rows = rows.join(sizes.where(fits).drop("_n"), "head", "left_semi")
+    return rows.groupBy("head").applyInPandas(one, "head string, name string, canonical string, similarity double, method string")

@@ -30,7 +30,7 @@ def profile_fields(cells: DataFrame, unique_from: float = 0.9, contact_from: flo
 
 def external_ids(cells: DataFrame, profile: DataFrame, key: str) -> DataFrame:
     """(key, field, value): each record's display id, by preference a key named like an identifier, then any that is no contact, then any; within these the most unique, then by name."""
-    keys = F.broadcast(profile.where("is_key").select("field", "uniqueness").limit(10_000))  # one row a column
+    keys = F.broadcast(profile.where("is_key").select("field", "uniqueness"))  # one row a column
     tier = F.when(t.identifier_name(F.col("field")) & ~t.contact_name(F.col("field")), 0).when(~t.contact_name(F.col("field")), 1).otherwise(2)
     best = F.min_by(F.struct("field", "value"), F.struct(tier, -F.col("uniqueness"), F.col("field")))
     return cells.join(keys, "field").groupBy(key).agg(best.alias("_b")).select(key, "_b.*")

@@ -11,6 +11,7 @@ from caseloom.plans.sizing import cut
 
 #: Vectors of one block; blocks of queries meet blocks of the rest.
 BLOCK = 2048
+MOST_IN_GROUP = 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -119,9 +120,11 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> Dat
 
 
 def centroid_clusters(df: DataFrame, group: str, key: str, vector: str, tau: float) -> DataFrame:
-    """Greedy centroid clustering within groups (group, id, cluster): each vector joins the nearest centroid at ``tau`` or more, else starts one. Depends on the order of keys."""
+    """Greedy centroid clustering within groups (group, id, cluster): each vector joins the nearest centroid at ``tau`` or more, else starts one. Depends on the order of keys, so a group is one task's; one of more than ``MOST_IN_GROUP`` vectors fails instead of running out of memory (components have no such bound)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_IN_GROUP:
+            raise ValueError(f"more than {MOST_IN_GROUP} vectors in group {pdf['g'].iloc[0]}")
         pdf = pdf.sort_values("id")
         unit = _unit(list(pdf["v"]))
         sums: list[np.ndarray] = []

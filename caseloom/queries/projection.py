@@ -151,7 +151,7 @@ def tenant_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Messages by channel within one tenant's scope, opened by its name as capability, and in the scope without tenant."""
     opened = logs.capability(table(spark, folder, "tenant"), "tenant_name", " Copper Whisk Co ").select("tenant_id")
     m = table(spark, folder, "inbound_message")
-    own = logs.scope(m, 3).join(F.broadcast(opened), "tenant_id", "left_semi").groupBy("channel").agg(F.count("*").alias("messages"))
+    own = logs.scope(m, 3).join(opened, "tenant_id", "left_semi").groupBy("channel").agg(F.count("*").alias("messages"))
     return own.withColumn("scope", F.lit("tenant")).unionByName(logs.scope(m, None).groupBy("channel").agg(F.count("*").alias("messages")).withColumn("scope", F.lit("none")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as t
 from caseloom.operators import registry as r
+from caseloom.plans.sizing import broadcast_if_small
 from caseloom.sources.tables import table
 
 HEADS_FROM, QUALIFIERS_FROM, WIDTH = 4, 8, 20
@@ -27,7 +28,7 @@ def support_counts(spark: SparkSession, folder: str) -> DataFrame:
 def head_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Customers of each region, rolled up over its nations by distinct customer and not by sum."""
     c, n, g = (table(spark, folder, x) for x in ("customer", "nation", "region"))
-    joined = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(g), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = c.join(broadcast_if_small(n), F.col("c_nationkey") == F.col("n_nationkey")).join(broadcast_if_small(g), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name").agg(F.count_distinct("c_custkey").alias("support"), F.count_distinct("n_name").alias("nations"))
 
 
@@ -58,8 +59,7 @@ def backfill_cost(spark: SparkSession, folder: str) -> DataFrame:
     a = _attributes(spark, folder).select("case_id", "head").distinct()
     heads = r.support(a, ["head"], "case_id").where(F.col("support") >= HEADS_FROM * 5)
     total = a.agg(F.count_distinct("case_id").alias("cases"))
-    naive = heads.crossJoin(F.broadcast(total)).agg(F.sum(F.col("cases") - F.col("support")).alias("naive_calls"), F.count("*").alias("heads"))
-    return naive
+    return heads.withColumn("cases", total.scalar()).agg(F.sum(F.col("cases") - F.col("support")).alias("naive_calls"), F.count("*").alias("heads"))
 
 
 def escape_valve_facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +134,7 @@ def rehomed_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts under each head before and after the words of the qualifiers that are heads of their own take them over."""
     a = _attributes(spark, folder)
     heads = r.support(a, ["head"], "case_id").where("support >= 4").select(F.col("head").alias("new_head"))
-    moved = a.join(F.broadcast(heads.limit(100_000)), F.col("qualifier") == F.col("new_head"), "left")
+    moved = a.join(broadcast_if_small(heads), F.col("qualifier") == F.col("new_head"), "left")
     before = moved.groupBy("head").agg(F.count("*").alias("before"))
     after = moved.groupBy(F.coalesce("new_head", "head").alias("head")).agg(F.count("*").alias("after"))
     zero = F.lit(0).cast("long")

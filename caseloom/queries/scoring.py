@@ -9,6 +9,7 @@ from caseloom.functions import text as t
 from caseloom.operators import calibration as cal
 from caseloom.operators import rules
 from caseloom.operators.ordered import top_k
+from caseloom.plans.sizing import broadcast_if_small
 from caseloom.sources.tables import table
 
 _GOLD = {"category": "gold_category", "desired_outcome": "gold_desired_outcome", "severity": "gold_severity_signal", "emotion": "gold_emotion_signal"}
@@ -40,14 +41,14 @@ def unpivoted_labels(spark: SparkSession, folder: str) -> DataFrame:
 def calibration_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Reliability of each predicted value with ten labelled rows or more, with the field's default."""
     x = _long(spark, folder)
-    cells = cal.reliability(x).join(F.broadcast(cal.field_default(x).limit(1000)), "field")
+    cells = cal.reliability(x).join(broadcast_if_small(cal.field_default(x)), "field")
     return cells.select("field", "predicted", "n", F.round("reliability", 6).alias("reliability"), "default_reliability")
 
 
 def calibrated_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of every prediction and its route."""
     x = _long(spark, folder)
-    y = x.join(F.broadcast(cal.reliability(x).select("field", "predicted", "reliability").limit(100_000)), ["field", "predicted"], "left").join(F.broadcast(cal.field_default(x).limit(1000)), "field", "left")
+    y = x.join(broadcast_if_small(cal.reliability(x).select("field", "predicted", "reliability")), ["field", "predicted"], "left").join(broadcast_if_small(cal.field_default(x)), "field", "left")
     conf = cal.confidence(F.col("predicted"), F.col("reliability"), F.col("default_reliability"), F.col("grounding"))
     return y.groupBy("field", cal.route(conf, F.lit(0.8)).alias("route")).agg(F.count("*").alias("n"))
 
@@ -179,7 +180,7 @@ def latency_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     up = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     levels = levels.withColumn("upto", F.sum("n").over(up))
     total = levels.groupBy("event_type").agg(F.max("upto").alias("n_all"))
-    x = levels.join(F.broadcast(total.limit(100_000)), "event_type")
+    x = levels.join(broadcast_if_small(total), "event_type")
     at = lambda pos: F.min(F.when(F.col("upto") > pos, F.col("value")))
     q = x.groupBy("event_type").agg(at(F.floor(F.col("n_all") / 2)).alias("p50"), at(F.floor(F.col("n_all") * 0.95)).alias("p95"), at(F.floor((F.col("n_all") - 1) / 2)).alias("lo"), F.max("n_all").alias("n"))
     return q.select("event_type", "n", "p50", "p95", F.round((F.col("lo") + F.col("p50")) / 2, 6).alias("median"))

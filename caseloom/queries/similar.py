@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as t
 from caseloom.operators import registry, resolve, vectors
+from caseloom.plans.sizing import broadcast_if_small
 from caseloom.sources.tables import table
 
 TAU, NEAR = 0.35, 4
@@ -48,12 +49,10 @@ def knn_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_cosine(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine of the first vectors of every two labels."""
+    """Cosine of every vector with the first of its label."""
     e = _vectors(spark, folder)
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v"))
-    a, b = first.select(F.col("label").alias("label_a"), F.col("v").alias("va")), first.select(F.col("label").alias("label_b"), F.col("v").alias("vb"))
-    pairs = a.join(b, F.col("label_a") < F.col("label_b"))
-    return pairs.select("label_a", "label_b", F.round(vectors.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
+    return e.join(broadcast_if_small(first), "label").select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("v")), 6).alias("similarity"))
 
 
 def dedup_gate(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +162,7 @@ SQL = {
         WITH p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
         SELECT id_a, id_b, row_number() OVER (PARTITION BY id_a ORDER BY s DESC, id_b) AS rank, round(s, 6) AS similarity FROM p QUALIFY rank <= {NEAR}""",
     "label_cosine": f"""
-        WITH f AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) SELECT a.label AS label_a, b.label AS label_b, round({_COS}, 6) AS similarity FROM f a JOIN f b ON a.label < b.label""",
+        WITH f AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) SELECT a.vec_id, a.label, round({_COS}, 6) AS similarity FROM embeddings a JOIN f b ON a.label = b.label""",
     "dedup_gate": f"""
         WITH p AS (SELECT a.vec_id AS id, max({_COS}) AS s FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
         SELECT CASE WHEN s IS NULL THEN 'seed' WHEN s >= 0.40 THEN 'merge' WHEN s < 0.30 THEN 'admit_new' ELSE 'adjudicate' END AS method, count(*) AS n FROM p GROUP BY 1""",
