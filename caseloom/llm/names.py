@@ -119,7 +119,21 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return one[-1]
 
 
-_LONG_GIVEN = [g for g in NICKNAMES if len(g) >= 4]
+def _cut(s: str, times: int) -> set[str]:
+    """What is left of a string without up to ``times`` characters."""
+    out = {s}
+    for _ in range(times):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
+#: Known names by what is left of them: two words within an edit distance share such a rest.
+_RESTS: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
+for _g in NICKNAMES:
+    if len(_g) >= 4:
+        for _times, _index in enumerate(_RESTS, 1):
+            for _rest in _cut(_g, _times):
+                _index.setdefault(_rest, set()).add(_g)
 
 
 @lru_cache(maxsize=100_000)
@@ -129,7 +143,8 @@ def canonical_given(word: str) -> tuple[frozenset[str], int]:
         return frozenset(NICKNAMES[word]), 0
     if len(word) >= 4:
         for most in (1, 2) if len(word) >= 7 else (1,):
-            near = [g for g in _LONG_GIVEN if abs(len(g) - len(word)) <= most and (min(len(g), len(word)) > 4 or g[0] == word[0] and len(g) == len(word)) and distance(word, g, most) <= most]
+            likely = set().union(*(_RESTS[most - 1].get(r, ()) for r in _cut(word, most)))
+            near = [g for g in likely if abs(len(g) - len(word)) <= most and (min(len(g), len(word)) > 4 or g[0] == word[0] and len(g) == len(word)) and distance(word, g, most) <= most]
             if near:
                 return frozenset().union(*(NICKNAMES[g] for g in near)), most
     return frozenset(), 0
