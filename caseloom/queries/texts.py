@@ -23,6 +23,12 @@ def document_profile(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
 
+def document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Kind of every line of every document, by language; ``document_profile`` for whole texts and all languages."""
+    d = table(spark, folder, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("kind", t.value_kind(F.col("line")))
+    return d.groupBy("lang", "kind").agg(F.count("*").alias("n"))
+
+
 def normal_names(spark: SparkSession, folder: str) -> DataFrame:
     """Part names composed with their brand and split again."""
     p = table(spark, folder, "part").select("p_partkey", t.snake(F.col("p_type")).alias("head"), F.col("p_brand").alias("brand"))
@@ -52,6 +58,13 @@ def fault_grounding(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", t.fault_grounded(F.substring_index("text", ".", 1), F.col("text")).alias("grounded"), F.size(t.content_words(F.substring_index("text", ".", 1))).alias("words"))
 
 
+def fault_grounding_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each complaint's first sentence is told in the rest of it, in every language; ``fault_grounding`` for all of them."""
+    d = table(spark, folder, "documents").where("source = 'complaint_narrative'")
+    fault = F.substring_index("text", ".", 1)
+    return d.select("doc_id", "lang", t.fault_grounded(fault, F.col("text")).alias("grounded"), F.size(t.content_words(fault)).alias("words"))
+
+
 def locate_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Place of a word in each case's documents, as offsets in the case's joined text; the bases are prefix sums, no text is joined."""
     d = table(spark, folder, "documents").where("case_id IS NOT NULL").select("case_id", "doc_id", "text")
@@ -169,7 +182,7 @@ def distinct_in_case(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    value_profile, document_profile, normal_names, grounded_values, kept_qualifiers, fault_grounding, locate_spans, case_text_parts, text_spans, sensitive_fields, card_scan, masked_texts, redacted_values,
+    value_profile, document_profile, document_lines, normal_names, grounded_values, kept_qualifiers, fault_grounding, fault_grounding_all, locate_spans, case_text_parts, text_spans, sensitive_fields, card_scan, masked_texts, redacted_values,
     near_duplicates, boilerplate_strip, length_band, greedy_caps, held_out, attachment_routing, chat_lines, day_first_vote, distinct_in_case,
 )}
 
@@ -198,6 +211,7 @@ SQL = {
         SELECT {kind_sql('value')} AS kind, count(*) AS n, round(avg(CASE WHEN len({_TOK.format('value')}) = 0 THEN 0.0 ELSE len(list_filter({_TOK.format('value')}, lambda x: list_contains({_FW}, x))) / len({_TOK.format('value')}) END), 6) AS mean_ratio
         FROM emergent_attribute GROUP BY 1""",
     "document_profile": f"WITH d AS (SELECT lang, string_split(text, chr(10))[1] AS line FROM documents WHERE lang IN ('en', 'de')) SELECT lang, {kind_sql('line')} AS kind, count(*) AS n FROM d GROUP BY 1, 2",
+    "document_lines": f"WITH d AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT lang, {kind_sql('line')} AS kind, count(*) AS n FROM d GROUP BY 1, 2",
     "normal_names": f"""
         WITH p AS (SELECT p_partkey, {_S.format('p_type')} AS head, {_S.format('p_brand')} AS brand FROM part),
         n AS (SELECT p_partkey, head, brand, CASE WHEN brand <> '' AND brand <> head THEN brand || '_' || head ELSE head END AS name FROM p)
@@ -215,6 +229,9 @@ SQL = {
     "fault_grounding": f"""
         WITH d AS (SELECT doc_id, text, {_FIRST} AS fault FROM documents WHERE source = 'complaint_narrative' AND lang = 'en')
         SELECT doc_id, coalesce(NOT ({_STATE.format('fault')}) AND len({_words_sql('fault')}) > 0 AND len(list_intersect({_words_sql('fault')}, {_words_sql('text')})) / len({_words_sql('fault')}) >= 0.4, false) AS grounded, len({_words_sql('fault')}) AS words FROM d""",
+    "fault_grounding_all": f"""
+        WITH d AS (SELECT doc_id, lang, text, {_FIRST} AS fault FROM documents WHERE source = 'complaint_narrative')
+        SELECT doc_id, lang, coalesce(NOT ({_STATE.format('fault')}) AND len({_words_sql('fault')}) > 0 AND len(list_intersect({_words_sql('fault')}, {_words_sql('text')})) / len({_words_sql('fault')}) >= 0.4, false) AS grounded, len({_words_sql('fault')}) AS words FROM d""",
     "locate_spans": """
         WITH d AS (SELECT case_id, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY case_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM documents WHERE case_id IS NOT NULL),
         h AS (SELECT case_id, doc_id, base + instr(lower(text), 'refund') - 1 AS char_start FROM d WHERE instr(lower(text), 'refund') > 0)
