@@ -82,6 +82,25 @@ def gap_sessions(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str
     return base.join(parts, match).select(*kept, (F.col("_n") + F.col("_o")).alias(out))
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], by: str, ties: Sequence[str], values: Sequence[str], out: str = "previous", buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with a struct of ``values`` of the key's previous row in order of ``by`` and then ``ties``; null for the first row of a key.
+
+    Within a bucket the previous row is a lag; the first row of a bucket takes
+    the last row of the key's bucket before. Nulls of ``by`` come first; null
+    keys form a group.
+    """
+    kept = df.columns
+    base = df.withColumn("_b", order_bucket(df, by, buckets)).withColumn("_s", F.struct(*values))
+    within = Window.partitionBy(*keys, "_b").orderBy(F.col(by).asc_nulls_first(), *ties)
+    base = base.withColumn("_p", F.lag("_s").over(within))
+    lasts = base.groupBy(*keys, "_b").agg(F.max_by("_s", F.struct(by, *ties)).alias("_l"))
+    lasts = lasts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b")).alias("_o"))
+    match = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return base.join(lasts, match).select(*kept, F.coalesce("_p", "_o").alias(out))
+
+
 def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The values of the row of each key that is greatest by ``order``; an aggregate, so each map task sends one row a key. Null order values count as least."""
     last = F.max_by(F.struct(*values), F.struct(*order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators.ordered import gap_sessions, latest_by, numbered
+from caseloom.operators.ordered import gap_sessions, latest_by, numbered, with_previous
 from caseloom.sources.tables import table
 
 DAY = 86_400
@@ -43,6 +43,22 @@ def window_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("user_id", "session_no", decision.alias("decision"))
 
 
+def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Decision on each event of a user against the user's previous one: new, follow-up, reopened (within four days of a terminal event) or ambiguous. Events without a moment are left out."""
+    e = table(spark, folder, "events").select("user_id", "event_id", "ts", "event_type").where("ts IS NOT NULL")
+    p = with_previous(e, ["user_id"], "ts", ["event_id"], ["event_type", "ts"])
+    last_type, last_ts = F.col("previous.event_type"), F.col("previous.ts")
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(last_ts.cast("timestamp"))) / 1_000_000
+    decision = (
+        F.when(F.col("previous").isNull(), "new_no_prior")
+        .when((last_type == "error") & (gap > REOPEN_DAYS * DAY), "new_terminal")
+        .when(last_type == "error", "classify_terminal")
+        .when(gap <= DAY, "follow_up")
+        .otherwise("classify_idle")
+    )
+    return p.select("user_id", "event_id", decision.alias("decision"))
+
+
 def session_cases(spark: SparkSession, folder: str) -> DataFrame:
     """A case made on the first contact of each sender: its clock is the first message's."""
     m = table(spark, folder, "inbound_message").where("trim(sender) <> ''")
@@ -85,7 +101,7 @@ def message_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(m, ["tenant_id"], "received_at", ["message_id"], "position").select("message_id", "tenant_id", "position")
 
 
-QUERIES = {f.__name__: f for f in (sessions_24h, window_decisions, session_cases, late_events, pending_inbound, liveness, message_numbers)}
+QUERIES = {f.__name__: f for f in (sessions_24h, window_decisions, event_decisions, session_cases, late_events, pending_inbound, liveness, message_numbers)}
 
 _SESSIONS = """
     WITH m AS (SELECT {keys}, {id}, {ts} AS ts {more} FROM {table} WHERE {where}),
@@ -100,6 +116,10 @@ SQL = {
     d AS (SELECT user_id, session_no, start_ts, lag(last_type) OVER w AS last_type, lag(last_ts) OVER w AS last_ts FROM r WINDOW w AS (PARTITION BY user_id ORDER BY session_no))
     SELECT user_id, session_no, CASE WHEN last_ts IS NULL THEN 'new_no_prior' WHEN last_type = 'error' AND start_ts - last_ts > INTERVAL 96 HOURS THEN 'new_terminal'
         WHEN last_type = 'error' THEN 'classify_terminal' WHEN start_ts - last_ts <= INTERVAL 24 HOURS THEN 'follow_up' ELSE 'classify_idle' END AS decision FROM d""",
+    "event_decisions": """
+        WITH d AS (SELECT user_id, event_id, ts, lag(event_id) OVER w AS last_id, lag(event_type) OVER w AS last_type, lag(ts) OVER w AS last_ts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        SELECT user_id, event_id, CASE WHEN last_id IS NULL THEN 'new_no_prior' WHEN last_type = 'error' AND ts - last_ts > INTERVAL 96 HOURS THEN 'new_terminal'
+        WHEN last_type = 'error' THEN 'classify_terminal' WHEN ts - last_ts <= INTERVAL 24 HOURS THEN 'follow_up' ELSE 'classify_idle' END AS decision FROM d""",
     "session_cases": "SELECT tenant_id, sender, min(received_at) AS first_contact, arg_min(channel, (received_at, message_id)) AS channel, 'created' AS state FROM inbound_message WHERE trim(sender) <> '' GROUP BY 1, 2",
     "late_events": """
         WITH x AS (SELECT tenant_id, epoch_us(received_at) AS u, max(epoch_us(received_at)) OVER (ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM inbound_message)
