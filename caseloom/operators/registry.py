@@ -110,3 +110,23 @@ def canonicalise(names: DataFrame, head: str, name: str, vector: str, order: str
     fits = F.when(F.col("_n") > MOST_NAMES, F.raise_error(F.concat(F.lit("too many names under "), F.col("head")))).otherwise(F.lit(True))
     rows = rows.join(sizes.where(fits).drop("_n"), "head", "left_semi")
     return rows.groupBy("head").applyInPandas(one, "head string, name string, canonical string, similarity double, method string")
+
+
+def backfill_fanout(attested: DataFrame, categories: DataFrame, heads: DataFrame, head: str, category: str, case: str) -> DataFrame:
+    """(head, naive_calls, optimised_calls) of the promoted ``heads``: distinct cases in the categories of a head's attesting cases, and those of them that do not attest it.
+
+    ``attested`` has (head, case) and ``categories`` (category, case); a case may
+    have several categories, and a null one is a category of its own. Null cases
+    do not count, nor do cases without a row in ``categories``.
+    """
+    pairs = categories.where(F.col(case).isNotNull()).select(F.col(category).alias("_c"), F.col(case).alias("_case")).distinct()
+    numbers = heads.select(head).distinct().withColumn("_n", F.row_number().over(Window.orderBy(head)) - 1)  # the registry of promoted heads, not cases
+    numbers = numbers.select(head, F.floor(F.col("_n") / 64).alias("_word"), (F.col("_n") % 64).alias("_bit"))
+    own = attested.select(head, F.col(case).alias("_case")).distinct().join(numbers.select(head), head, "left_semi").join(pairs.select("_case"), "_case", "left_semi")
+    scope = own.join(pairs, "_case").select(head, F.col("_c").alias("_s")).distinct().join(numbers, head)
+    masks = scope.groupBy("_s", "_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_m"))
+    cases = pairs.join(masks, F.col("_s").eqNullSafe(F.col("_c"))).groupBy("_case", "_word").agg(F.bit_or("_m").alias("_m"))
+    bits = F.array(*[F.sum(F.shiftrightunsigned("_m", i).bitwiseAND(F.lit(1).cast("long"))) for i in range(64)])
+    naive = cases.groupBy("_word").agg(bits.alias("_all")).select("_word", F.posexplode("_all").alias("_bit", "naive_calls"))
+    has = own.groupBy(head).agg(F.count("*").alias("_has"))
+    return numbers.join(naive, ["_word", "_bit"]).join(has, head).select(head, "naive_calls", (F.col("naive_calls") - F.col("_has")).alias("optimised_calls"))

@@ -62,6 +62,13 @@ def backfill_cost(spark: SparkSession, folder: str) -> DataFrame:
     return heads.withColumn("cases", total.scalar()).agg(F.sum(F.col("cases") - F.col("support")).alias("naive_calls"), F.count("*").alias("heads"))
 
 
+def backfill_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls to fill each promoted head in, naive and optimised: in all cases that share a head with a case that has it, and in those of them without it."""
+    a = _attributes(spark, folder).select("case_id", "head").distinct()
+    heads = r.support(a, ["head"], "case_id").where(F.col("support") >= HEADS_FROM)
+    return r.backfill_fanout(a, a.withColumnRenamed("head", "category"), heads, "head", "category", "case_id")
+
+
 def escape_valve_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts under the escape heads whose value is concrete, by head and kind."""
     a = _attributes(spark, folder).where(F.col("head").isin("other", "description", "document", "reason"))
@@ -142,7 +149,7 @@ def rehomed_facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    support_counts, head_rollup, pooled_support, promote_two_level, backfill_worklist, backfill_cost, escape_valve_facts, minted_vocab, new_names_per_bucket, cumulative_names, canonical_curve,
+    support_counts, head_rollup, pooled_support, promote_two_level, backfill_worklist, backfill_cost, backfill_calls, escape_valve_facts, minted_vocab, new_names_per_bucket, cumulative_names, canonical_curve,
     hapax_rate, earned_columns, qualifier_leaks, extracted_facts, rehomed_facts,
 )}
 
@@ -196,6 +203,10 @@ SQL = {
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'F') ORDER BY c_custkey LIMIT 25""",
     "backfill_cost": _A + """, h AS (SELECT head, count(DISTINCT case_id) AS support FROM a GROUP BY 1 HAVING count(DISTINCT case_id) >= 20)
         SELECT sum((SELECT count(DISTINCT case_id) FROM a) - support)::BIGINT AS naive_calls, count(*) AS heads FROM h""",
+    "backfill_calls": _A + """, p AS (SELECT DISTINCT head, case_id FROM a), h AS (SELECT head FROM p GROUP BY 1 HAVING count(*) >= 4),
+        s AS (SELECT DISTINCT x.head, y.head AS category FROM p x JOIN p y ON x.case_id = y.case_id WHERE x.head IN (SELECT head FROM h)),
+        m AS (SELECT DISTINCT s.head, p.case_id FROM s JOIN p ON p.head = s.category)
+        SELECT m.head, count(*) AS naive_calls, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p WHERE p.head = m.head AND p.case_id = m.case_id)) AS optimised_calls FROM m GROUP BY 1""",
     "escape_valve_facts": _A + f""", k AS (SELECT head, case_id, {kind_sql('value')} AS kind FROM a WHERE head IN ('other', 'description', 'document', 'reason'))
         SELECT head, kind, count(*) AS facts, count(DISTINCT case_id) AS cases FROM k WHERE kind IN ('money', 'date', 'number', 'identifier', 'phrase') GROUP BY 1, 2""",
     "minted_vocab": _A + f""", w AS (SELECT head AS word FROM a GROUP BY 1 HAVING count(DISTINCT case_id) >= 4 UNION SELECT qualifier FROM a WHERE qualifier IS NOT NULL GROUP BY 1 HAVING count(DISTINCT case_id) >= 4)
