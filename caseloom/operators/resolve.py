@@ -42,6 +42,29 @@ def resolve_outcome(anchor: Column, id_hits: Column, phone: Column, phone_hits:
     return F.when(anchor.isNotNull(), by_id).when(phone.isNotNull() & (phone_hits == 1), "silent").when(phone.isNotNull() & (phone_hits > 1), "confirm").otherwise("elicit")
 
 
+def resolve_with_name(anchor: Column, id_hits: Column, phone: Column, phone_hits: Column, agrees: Column, similarity: Column, margin: Column, tau: float = 0.72, least_margin: float = 0.06) -> Column:
+    """``resolve_outcome`` with the name as third step: where neither id nor phone decides, the nearest record by name binds silently if its ``similarity`` reaches ``tau`` and its ``margin`` over the runner-up ``least_margin``, asks if only the first holds, and else elicits. Without a name both are null."""
+    by_name = F.when((similarity >= tau) & (margin >= least_margin), "silent").when(similarity >= tau, "confirm").otherwise("elicit")
+    exact = resolve_outcome(anchor, id_hits, phone, phone_hits, agrees)
+    return F.when(exact == "elicit", by_name).otherwise(exact)
+
+
+def match_quality(df: DataFrame, keys: list[str], mode: str, bound: str, true_mode: str, true_object: str) -> DataFrame:
+    """Per key: cases, silent and wrong binds, those that ought to bind and how many did, and cases that behaved.
+
+    A silent bind is wrong unless it bound the true record; none stated makes it
+    wrong. A case behaved if its mode is the true one, where confirm and elicit
+    count as the same: not bound.
+    """
+    silent, wanted = F.col(mode) == "silent", F.col(true_mode) == "silent"
+    right = F.coalesce(F.col(bound) == F.col(true_object), F.lit(False))
+    recalled = wanted & silent & F.col(true_object).isNotNull()
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("cases"), F.count_if(silent).alias("silent"), F.count_if(silent & ~right).alias("wrong_binds"),
+        F.count_if(wanted).alias("resolvable"), F.count_if(recalled).alias("recalled"), F.count_if(silent == wanted).alias("behaved"),
+    )
+
+
 def top_margin(pairs: DataFrame) -> DataFrame:
     """(id_a, best, similarity, margin) of ranked neighbours; an absent runner-up counts as 0."""
     w = Window.partitionBy("id_a").orderBy("rank")
