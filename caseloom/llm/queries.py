@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.garbled import fit_model, repaired
 from caseloom.llm.language_runs import fit_profiles, segment_languages, text_runs
 from caseloom.llm.mixing import mix, share_report
-from caseloom.llm.name_links import row_links
+from caseloom.llm.name_links import row_classes, row_links
 from caseloom.llm.packing import fill_report, pack
 from caseloom.llm.pii import personal_details
 from caseloom.llm.term_bitmaps import marked, normal_term, term_bitmaps, term_frequencies
@@ -64,11 +64,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of rows of one upload whose customer names mean the same."""
-    rows = table(spark, folder, "spike_bakery_objects")
-    links = row_links(rows, "object_id", "upload_id", "customer_name")
+    links = row_links(row_classes(table(spark, folder, "spike_bakery_objects"), "object_id", "upload_id", "customer_name"))
     return links.select(F.col("id_a").cast("long").alias("object_id_a"), F.col("id_b").cast("long").alias("object_id_b")).distinct()
 
 
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every row that names a customer: one row a record, copies included."""
+    rows = row_classes(table(spark, folder, "spike_bakery_objects"), "object_id", "upload_id", "customer_name")
+    return rows.select(F.col("id").cast("long").alias("object_id"), F.col("block").alias("upload_id"), "class_id", "score")
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every document, or piece of one, for each kind of container."""
     sized = cut(with_tokens(table(spark, folder, "documents"), "doc_id", "text"))
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found,
+    "p1_found": p1_found, "p1_runs": p1_runs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_masked": p4_masked, "p5_found": p5_found, "p5_classes": p5_classes,
     "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_mixed": p7_mixed, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored,
 }
 
