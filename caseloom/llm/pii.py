@@ -19,7 +19,7 @@ _TITLE = re.compile(r"(?i)^(?:mr|mrs|ms|miss|dr|sh|prof|eng|herr|frau|sra?|mme)\
 
 
 def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tagged spans after exact checks: joined over gaps inside a word, widened to whole words, trimmed of edges and titles; numbers need digits, e-mail addresses a sign for "at"."""
+    """Tagged spans after exact checks: joined over gaps inside a word, widened to whole words, trimmed of edges and titles; numbers need digits, addresses digits or two words, e-mail addresses a sign for "at"."""
     joined: list[tuple[int, int, str]] = []
     for a, b, k in spans:
         if joined and joined[-1][2] == k and a - joined[-1][1] <= 1 and not text[joined[-1][1] : a].isspace():
@@ -54,7 +54,7 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
                 a += m.end()
             ok = digits == 0 and bool(_WORDY.search(text[a:b]))
         else:
-            ok = len(part) >= 4 and (digits > 0)
+            ok = len(part) >= 4 and (digits > 0 or len(part.split()) > 1)
         if ok:
             out.append((a, b, k))
     return out

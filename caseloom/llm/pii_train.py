@@ -1,8 +1,10 @@
-"""Trains the tagger: ``python -m caseloom.llm.pii_train TABLES_DIR [--rows N] [--minutes M]``.
+"""Trains the tagger: ``python -m caseloom.llm.pii_train TABLES_DIR [--rows N] [--invented N] [--minutes M] [--workers N]``.
 
 Labelled spans come from :mod:`caseloom.llm.pii_labels` over at most ``--rows``
-rows of each table (the documented bound of the sample). A tenth of the texts is
-held out; span precision, recall and F1 on it are printed and stored.
+rows of each table (the documented bound of the sample) and from invented
+sentences (:mod:`caseloom.llm.pii_synthetic`). A twentieth of the rows and a
+tenth of the invented sentences' carriers are held out; precision, recall and F1
+of spans on both are printed.
 """
 
 from __future__ import annotations
@@ -16,41 +18,67 @@ from collections import Counter
 import numpy as np
 
 from caseloom.llm import pii_labels as lab
+from caseloom.llm import pii_synthetic as synthetic
 from caseloom.llm.pii_tagger import BUCKETS, KINDS, MODEL_FILE, TAGS, Tagger, Vocabulary, bucket
 
 EMB, HIDDEN = 24, 44
 
 
-def labelled(texts: list[str], facts: list[str], senders: list[str]) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def lexicon(folder: str, rows: int) -> lab.Lexicon:
+    """Words of names from senders written ``Name <address>``, two-word senders and signatures in other scripts, customer names and fields of key facts, and the use of words in texts, over at most ``rows`` rows of each table."""
+    from caseloom.llm import names
+
+    lex = lab.Lexicon()
+    for s in set(column(folder, "inbound_message", "sender", rows)):
+        head, at, _ = s.partition("<")
+        if at and head.strip() or not re.search("[A-Za-z0-9@]", s) and len(s.split()) == 2:
+            lex.add(head.strip())
+    known = Counter(lex.given)
+    for s in set(column(folder, "spike_bakery_objects", "customer_name", rows)):
+        found = names.readings(s)
+        if found and not found[0].org and len(found) == 1 + (len(found) > 1) and re.fullmatch(r"[^\W\d_]+\.? (?:[^\W\d_]\.? )?(?:(?i:al|el)[ -])?[^\W\d_]+", s) and s.split()[0].lower() in known:
+            lex.add(s)
+        elif found and not found[0].org and re.fullmatch(r"[^\W\d_]{2,} [^\W\d_]+", s) and s.split()[1].lower() in lex.family:
+            lex.add(s)
+    for s in column(folder, "cfpb_labels", "gold_key_facts", rows):
+        for item in s.split(";"):
+            key, eq, value = item.partition("=")
+            if eq and re.search("(?i)holder|owner|agent|driver|signer", key):
+                lex.add(value.strip())
+    texts = column(folder, "inbound_message", "text", rows)
+    for s in {t.rpartition("\n")[2].strip() for t in texts}:  # a message may end in a line that is its signature
+        if re.fullmatch(r"[^\W\d_a-zA-Z][^\W\d_a-zA-Z\u0900-\u0963]*\S* [^\W\d_a-zA-Z]\S*(?<![.!?؟۔।])", s):
+            lex.add(s)
+    lex.learn_usage(texts)
+    return lex
+
+
+def column(folder: str, table: str, name: str, rows: int) -> list[str]:
+    """The non-empty values of the first ``rows`` rows of a column."""
+    import pyarrow.parquet as pq
+
+    return [x for x in pq.read_table(f"{folder}/{table}.parquet", columns=[name])[name].to_pylist()[:rows] if x]
+
+
+def labelled(texts: list[str], facts: list[str], senders: list[str], lex: lab.Lexicon) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with spans; doubtful sentences are left out of them."""
-    given, family = Counter(), Counter()
-    parts = []
-    for t in texts:
-        own = [(t[a:b], lab.label_sentence(t[a:b])) for a, b in lab.sentences(t)]
-        parts.append(own)
-        for s, spans in own:
-            for a, b, k in spans:
-                if k == "name":
-                    words = s[a:b].lower().split()
-                    given[words[0].strip(".")] += 1
-                    if len(words) > 1:
-                        family[words[-1].strip(".")] += 1
-    first = {g for g, n in given.items() if n > 1 and len(g) > 2} - {"will", "bill", "kit", "pat", "mark"}
-    last = {f for f in family if len(f) > 3}
     out = []
-    for own in parts:
+    for t in texts:
         text, spans = "", []
-        for s, found in own:
-            more, doubt = lab.lexicon_names(s, found, first, last)
+        for a, b in lab.sentences(t):
+            found, doubt = lab.label_sentence(t[a:b], lex)
             if doubt:
                 continue
             text += random.choice((" ", " ", "\n")) if text else ""
-            spans += [(len(text) + a, len(text) + b, k) for a, b, k in [*found, *more]]
-            text += s
+            spans += [(len(text) + x, len(text) + y, k) for x, y, k in found]
+            text += t[a:b]
         if text:
             out.append((text, sorted(spans)))
-    out += [(t, lab.label_facts(t)) for t in facts if t]
-    out += [(t, lab.label_sender(t, first | last)) for t in senders if t.strip()]
+    for values, label in ((facts, lab.label_facts), (senders, lab.label_sender)):
+        for t in values:
+            found, doubt = label(t, lex)
+            if t.strip() and not doubt:
+                out.append((t, found))
     return out
 
 
@@ -219,10 +247,17 @@ def f1(model: Tagger, rows: list) -> dict[str, tuple[float, float, float]]:
     return {k: (hit[k] / max(1, said[k]), hit[k] / max(1, true[k]), 2 * hit[k] / max(1, said[k] + true[k])) for k in KINDS}
 
 
-def train(rows: list, minutes: float, seed: int = 7) -> None:
+def _part(job: tuple) -> tuple:
+    """Loss and gradients of a worker's share of a batch."""
+    w, ids, tags, lens, seed = job
+    return step(w, ids, tags, lens, 0.15, np.random.default_rng(seed))
+
+
+def train(rows: list, held: list, minutes: float, workers: int, seed: int = 7) -> None:
+    """Trains on ``rows`` for a time, each batch shared among worker processes, stores the weights and prints the quality on ``held``."""
+    import multiprocessing
+
     rng, nrng = random.Random(seed), np.random.default_rng(seed)
-    rng.shuffle(rows)
-    held, rows = rows[: len(rows) // 10], rows[len(rows) // 10 :]
     seen = Counter(c for t, _ in rows for c in t)
     chars = "".join(sorted(c for c, n in seen.items() if n >= 30 and not ("٠" <= c <= "٩" or "۰" <= c <= "۹" or "०" <= c <= "९")))
     vocab = Vocabulary(chars)
@@ -238,48 +273,57 @@ def train(rows: list, minutes: float, seed: int = 7) -> None:
     for i, c in enumerate(chars):
         ids_of[i + len(BUCKETS)] = bucket(c)
     began, n, epoch, total, shown = time.time(), 0, 0, 0.0, time.time()
-    while time.time() - began < minutes * 60:
-        for ids, tags, lens in batches(rows, vocab, rng):
-            ids = np.where((nrng.random(ids.shape) < 0.03) & (ids >= len(BUCKETS)), ids_of[ids], ids)
-            loss, g = step(w, ids, tags, lens, 0.15, nrng)
-            norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
-            n += 1
-            done = min(1.0, (time.time() - began) / (minutes * 60))
-            lr = 6e-3 * min(1, n / 60) * (0.02 + 0.98 * (1 - done) ** 1.2)
-            for name, x in g.items():
-                x = x * min(1.0, 8.0 / (norm + 1e-6))
-                m1[name] = 0.9 * m1[name] + 0.1 * x
-                m2[name] = 0.99 * m2[name] + 0.01 * x * x
-                w[name] -= (lr * (m1[name] / (1 - 0.9**n)) / (np.sqrt(m2[name] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
-            total = 0.98 * total + 0.02 * loss
-            if time.time() - shown > 30:
-                shown = time.time()
-                print(f"step {n} epoch {epoch} loss {total / (1 - 0.98**n):.3f}", flush=True)
-            if done >= 1:
-                break
-        epoch += 1
+    with multiprocessing.get_context("fork").Pool(workers) as pool:
+        while time.time() - began < minutes * 60:
+            for ids, tags, lens in batches(rows, vocab, rng, size=48 * workers):
+                ids = np.where((nrng.random(ids.shape) < 0.03) & (ids >= len(BUCKETS)), ids_of[ids], ids)
+                shares = [np.arange(len(lens))[i::workers] for i in range(min(workers, len(lens)))]
+                jobs = [(w, ids[: lens[x].max(), x], tags[: lens[x].max(), x], lens[x], int(nrng.integers(1 << 31))) for x in map(np.array, shares)]
+                parts = pool.map(_part, jobs, chunksize=1)
+                loss = sum(p[0] for p in parts) / len(parts)
+                g = {name: sum(p[1][name] for p in parts) / len(parts) for name in w}
+                norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
+                n += 1
+                done = min(1.0, (time.time() - began) / (minutes * 60))
+                lr = 8e-3 * min(1, n / 60) * (0.02 + 0.98 * (1 - done) ** 1.2)
+                for name, x in g.items():
+                    x = x * min(1.0, 8.0 / (norm + 1e-6))
+                    m1[name] = 0.9 * m1[name] + 0.1 * x
+                    m2[name] = 0.99 * m2[name] + 0.01 * x * x
+                    w[name] -= (lr * (m1[name] / (1 - 0.9**n)) / (np.sqrt(m2[name] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
+                total = 0.98 * total + 0.02 * loss
+                if time.time() - shown > 60:
+                    shown = time.time()
+                    print(f"step {n} epoch {epoch} loss {total / (1 - 0.98**n):.3f}", flush=True)
+                if done >= 1:
+                    break
+            epoch += 1
     saved = {x: y.astype(np.float16) for x, y in w.items()} | {"chars": np.array(chars)}
     MODEL_FILE.parent.mkdir(exist_ok=True)
     np.savez_compressed(MODEL_FILE, **saved)
-    scores = f1(Tagger(saved), held)
     print(f"{len(rows)} texts, {n} steps, {epoch} epochs")
-    for kind, x in scores.items():
-        print(f"held out, {kind}: precision {x[0]:.4f} recall {x[1]:.4f} F1 {x[2]:.4f}", flush=True)
+    for what, sample in held:
+        for kind, x in f1(Tagger(saved), sample).items():
+            print(f"{what}, {kind}: precision {x[0]:.4f} recall {x[1]:.4f} F1 {x[2]:.4f}", flush=True)
 
 
 def main() -> None:
-    import pyarrow.parquet as pq
-
     arg = argparse.ArgumentParser()
     arg.add_argument("tables")
     arg.add_argument("--rows", type=int, default=40_000)
-    arg.add_argument("--minutes", type=float, default=12)
+    arg.add_argument("--invented", type=int, default=24_000)
+    arg.add_argument("--minutes", type=float, default=8)
+    arg.add_argument("--workers", type=int, default=8)
     a = arg.parse_args()
-    col = lambda t, c: [x for x in pq.read_table(f"{a.tables}/{t}.parquet", columns=[c])[c].to_pylist()[: a.rows] if x]
     random.seed(7)
-    rows = labelled(col("inbound_message", "text"), col("cfpb_labels", "gold_key_facts"), sorted(set(col("inbound_message", "sender"))))
-    print(len(rows), "texts,", sum(len(s) for _, s in rows), "spans", flush=True)
-    train(rows, a.minutes)
+    lex = lexicon(a.tables, a.rows)
+    texts = column(a.tables, "inbound_message", "text", a.rows)
+    rows = labelled(texts, column(a.tables, "cfpb_labels", "gold_key_facts", a.rows), sorted(set(column(a.tables, "inbound_message", "sender", a.rows))), lex)
+    random.shuffle(rows)
+    held, rows = rows[: len(rows) // 20], rows[len(rows) // 20 :]
+    made = synthetic.texts(a.invented)
+    print(len(rows), "texts and", len(made), "invented ones,", sum(len(s) for _, s in rows + made), "spans", flush=True)
+    train(rows + made, [("held-out rows, by label", held), ("held-out carriers", synthetic.texts(2000, held_out=True))], a.minutes, a.workers)
 
 
 if __name__ == "__main__":

