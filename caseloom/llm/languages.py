@@ -232,7 +232,7 @@ def path(profiles: Profiles, scored: list[tuple[np.ndarray | None, int]]) -> lis
         return out
     chosen = [int(scored[i][0].argmin()) for i in live]
     if len(set(chosen)) > 1:
-        cost = np.array([scored[i][0] * min(scored[i][1], 60) for i in live])
+        cost = np.array([scored[i][0] * scored[i][1] for i in live])
         best, back = cost[0].copy(), []
         stay_at = np.arange(cost.shape[1])
         for row in cost[1:]:

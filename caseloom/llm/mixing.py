@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.plans.sizing import cut
 
-#: Blocks that each source is cut into; the plan on the driver has at most this times the sources and repeats rows.
+#: Least number of blocks that each source is cut into; there are at least two a shard.
 BLOCKS = 1024
-#: Sources with targets; more would make the plan too large for the driver.
-MOST_SOURCES = 2000
 SHARD_TOKENS = 50_000_000
-LEAST_SHARDS, MOST_SHARDS = 16, 4096
+LEAST_SHARDS = 16
+#: Quotas (shards times sources) that the driver draws; beyond it ``shard_tokens`` has to be greater.
+MOST_QUOTAS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -63,40 +65,28 @@ def split_quotas(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return out
 
 
-def plan_blocks(blocks: dict[str, np.ndarray], wanted: dict[str, int], shards: int, seed: int) -> list[tuple[str, int, int, int, int]]:
-    """The plan as (source, block, repeat_no, shard, tokens): ``tokens`` is the part of the block to take, or -1 for all of it.
+def slots(sizes: dict[int, int], wanted: int, seed: int) -> list[tuple[int, int, int]]:
+    """What to take of a source as (block, repeat_no, part), in random order: ``part`` is the size to take of the block, or -1 for all of it.
 
-    Whole passes over a source come first; the last, partial one takes blocks in
+    Whole passes over the blocks come first; the last, partial one takes blocks in
     permuted order, and of the block it ends in only what is missing.
     """
     rng = np.random.default_rng(seed)
-    names = sorted(wanted)
-    slots: dict[str, list[tuple[int, int, int]]] = {}
-    for s in names:
-        sizes, left, own = blocks[s], wanted[s], []
-        total = int(sizes.sum())
-        repeat = 1
-        while left >= total > 0:
-            own += [(b, repeat, -1) for b in range(len(sizes)) if sizes[b]]
-            left -= total
-            repeat += 1
-        for b in rng.permutation(len(sizes)):
-            if left <= 0:
-                break
-            if sizes[b]:
-                own.append((int(b), repeat, -1 if sizes[b] <= left else int(left)))
-                left -= int(sizes[b])
-        slots[s] = [own[i] for i in rng.permutation(len(own))]
-    quotas = split_quotas(np.array([len(slots[s]) for s in names]), shards, rng)
-    out = []
-    for k, s in enumerate(names):
-        ends = np.cumsum(quotas[:, k])
-        owner = np.searchsorted(ends, np.arange(len(slots[s])), side="right")
-        out += [(s, b, r, int(shard), part) for (b, r, part), shard in zip(slots[s], owner)]
-    return out
-
-
-def mix(items: DataFrame, targets: DataFrame, item: str, size: str, source: str, share: str, repeats: str, seed: int = 42, total: float | None = None, blocks: int = BLOCKS) -> DataFrame:
+    ids = np.array(sorted(b for b, n in sizes.items() if n > 0), np.int64)
+    total, own, left, repeat = sum(n for n in sizes.values() if n > 0), [], wanted, 1
+    while left >= total > 0:
+        own += [(int(b), repeat, -1) for b in ids]
+        left -= total
+        repeat += 1
+    for b in rng.permutation(ids):
+        if left <= 0:
+            break
+        own.append((int(b), repeat, -1 if sizes[b] <= left else int(left)))
+        left -= sizes[b]
+    return [own[i] for i in rng.permutation(len(own))]
+
+
+def mix(items: DataFrame, targets: DataFrame, item: str, size: str, source: str, share: str, repeats: str, seed: int = 42, total: float | None = None, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Selected rows (item_id, source, size, repeat_no, shard, position) in which each source has its share of the total size.
 
     ``total`` is the wanted size; by default the greatest at which every source
@@ -104,39 +94,57 @@ def mix(items: DataFrame, targets: DataFrame, item: str, size: str, source: str,
     the repeats allow. An item is taken once in each repeat; shares are exact to
     within one item of each source.
 
-    Items of a source are dealt to ``blocks`` blocks by a seeded hash, so a source
-    with a third of all rows is as many tasks as any other; block sizes and the
-    plan are the only things that reach the driver. Within a shard rows are
-    shuffled by another hash. Items with a null key or source, without size, or of
-    a source without target are left out; so are targets that are null or not
-    positive. Rows of equal keys and sizes count as copies; each is used by itself.
+    Items of a source are dealt to blocks by a seeded hash, so a source with a
+    third of all rows is as many tasks as any other. The driver sees one row a
+    source and draws how many blocks of each a shard gets, by the splitting tree;
+    which blocks these are is planned a source a task, and the plan, which grows
+    with blocks and repeats, is joined and not collected. Shards follow the total
+    size, without bound. Within a shard rows are shuffled by another hash.
+
+    Items with a null key or source, without size, or of a source without target
+    are left out; so are targets that are null or not positive. Rows of equal
+    keys and sizes count as copies; each is used by itself.
     """
     wanted_of = targets.where((F.col(share) > 0) & (F.col(repeats) > 0) & F.col(source).isNotNull())
     wanted_of = wanted_of.groupBy(F.col(source).alias("source")).agg(F.sum(share).alias("share"), F.max(repeats).alias("repeats"))
     named = items.where((F.col(size) > 0) & F.col(item).isNotNull()).select(F.col(item).alias("item_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"))
-    named = named.join(wanted_of.select("source"), "source", "left_semi")
-    named = named.withColumn("h", F.xxhash64(F.lit(seed), "source", "item_id")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    named = cut(named)
-    known = {r.source: (r.share, r.repeats) for r in wanted_of.limit(MOST_SOURCES + 1).collect()}
-    if len(known) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources have targets")
-    sizes: dict[str, np.ndarray] = {s: np.zeros(blocks, np.int64) for s in known}
-    for r in named.groupBy("source", "block").agg(F.sum("size").alias("n")).collect():  # at most sources times blocks rows
-        sizes[r.source][r.block] = r.n
-    goals = {s: Target(share_, int(rep), int(sizes[s].sum())) for s, (share_, rep) in known.items()}
+    named = cut(named.join(wanted_of.select("source"), "source", "left_semi").withColumn("h", F.xxhash64(F.lit(seed), "source", "item_id")))
+    known = wanted_of.join(named.groupBy("source").agg(F.sum("size").alias("n")), "source", "left").collect()  # one row a target
+    goals = {r.source: Target(r.share, int(r.repeats), int(r.n or 0)) for r in known}
     size_of = needs(goals, reachable_total(goals) if total is None else total)
-    shards = int(np.clip(-(-sum(size_of.values()) // SHARD_TOKENS), LEAST_SHARDS, MOST_SHARDS))
-    plan = plan_blocks(sizes, size_of, shards, seed)
-    spark = items.sparkSession
-    plan_df = spark.createDataFrame(plan, "source string, block int, repeat_no int, shard int, part long")
-    part_df = plan_df.where("part >= 0")
-    whole = named.join(F.broadcast(plan_df.where("part < 0")), ["source", "block"])
-    ends = named.join(F.broadcast(part_df), ["source", "block"])
+    shards = max(LEAST_SHARDS, -(-sum(size_of.values()) // shard_tokens))
+    blocks = max(blocks, 2 * shards)
+    if shards * max(1, len(goals)) > MOST_QUOTAS:
+        raise ValueError(f"{shards} shards of {len(goals)} sources: shards must be larger than {shard_tokens}")
+    named = named.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    sizes = cut(named.groupBy("source", "block").agg(F.sum("size").alias("n")))
+
+    def chosen(key: tuple, pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
+        own_seed = int.from_bytes(hashlib.blake2b(f"{seed}|{key[0]}".encode(), digest_size=8).digest())
+        return slots(dict(zip(pdf["block"].astype(int), pdf["n"].astype(int))), size_of.get(key[0], 0), own_seed)
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"source": [key[0]], "slots": [len(chosen(key, pdf))]})
+
+    found = {r.source: r.slots for r in sizes.groupBy("source").applyInPandas(count, "source string, slots long").collect()}  # one row a source
+    order = sorted(found)
+    quotas = split_quotas(np.array([found[s] for s in order], np.int64), shards, np.random.default_rng(seed))
+    ends = {s: np.cumsum(quotas[:, k]) for k, s in enumerate(order)}
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(chosen(key, pdf), columns=["block", "repeat_no", "part"])
+        out.insert(0, "source", key[0])
+        out["shard"] = np.searchsorted(ends[key[0]], np.arange(len(out)), side="right")
+        return out
+
+    plan = cut(sizes.groupBy("source").applyInPandas(deal, "source string, block int, repeat_no int, part long, shard int"))
+    whole = named.join(plan.where("part < 0").drop("part"), ["source", "block"])
+    cut_off = named.join(plan.where("part >= 0"), ["source", "block"])
     upto = F.sum("size").over(Window.partitionBy("source", "block").orderBy("h", "item_id").rowsBetween(Window.unboundedPreceding, 0))
-    ends = ends.withColumn("_upto", upto).where(F.col("_upto") - F.col("size") / 2 <= F.col("part")).drop("_upto")
-    rows = whole.unionByName(ends)
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "source", "item_id", "repeat_no"), "source", "item_id", "repeat_no")
-    return rows.select("item_id", "source", "size", "repeat_no", "shard", F.row_number().over(order).alias("position"))
+    cut_off = cut_off.withColumn("_upto", upto).where(F.col("_upto") - F.col("size") / 2 <= F.col("part")).drop("_upto", "part")
+    rows = whole.unionByName(cut_off)
+    within = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "source", "item_id", "repeat_no"), "source", "item_id", "repeat_no")
+    return rows.select("item_id", "source", "size", "repeat_no", "shard", F.row_number().over(within).alias("position"))
 
 
 def share_report(mixed: DataFrame, targets: DataFrame, source: str, share: str, repeats: str) -> DataFrame:

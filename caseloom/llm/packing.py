@@ -82,20 +82,23 @@ def plan_rows(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
-def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: str, capacity: str, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: str, capacity: str, salts: int = 256) -> DataFrame:
     """Container of every piece: (container_kind, container_id, item_id, piece_no, start, length).
 
     An item longer than the capacity is cut into full pieces, which fill a
-    container each, and a rest; no other item is cut. Rests and whole items are
-    packed by minimum bin slack over the histogram of *all* lengths, which has at
-    most ``capacity`` entries for a kind, so only that reaches the driver. Items
-    of one length are interchangeable: each gets its rank among them, counted by
+    container each, and a rest; no other item is cut. All pieces are packed by
+    minimum bin slack over the histogram of *all* lengths, which has at most
+    ``capacity`` entries for a kind whatever the number of items; each kind is
+    planned in a task of its own, and nothing of it reaches the driver. Pieces of
+    one length are interchangeable: each gets its rank among them, counted by
     (length, salt) first so that no length gathers in one task, and finds its
-    container in the plan, joined on the length.
+    container among the steps of the plan that its salt's ranks fall in, which
+    come with the salt's offset in the same join.
 
     Items with a null, zero or negative size, and kinds with a null or
     non-positive capacity, are left out. Repeated item identifiers are packed
-    each time. Ties follow a hash of the identifier, then the identifier.
+    each time, each in a place of its own. Ties follow a hash of the identifier,
+    then the identifier and the piece.
     """
     named = capacities.where(F.col(capacity) > 0).select(F.col(kind).alias("container_kind"), F.col(capacity).cast("long").alias("capacity")).distinct().limit(MOST_KINDS + 1).collect()
     if len(named) > MOST_KINDS:
@@ -103,11 +106,11 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: st
     kinds = F.array(*[F.struct(F.lit(r.container_kind).alias("container_kind"), F.lit(r.capacity).alias("capacity")) for r in named]) if named else F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
     sized = items.where((F.col(size) > 0) & F.col(item).isNotNull()).select(F.col(item).alias("item_id"), F.col(size).cast("long").alias("size"))
     both = sized.select("item_id", "size", F.inline(kinds))
-    full = both.where("size >= capacity").select("container_kind", "capacity", "item_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / F.col("capacity")) - 1)).alias("p"))
-    full = full.select("container_kind", F.concat_ws("-", F.lit("full"), "item_id", F.xxhash64("item_id", "size"), "p").alias("container_id"), "item_id", (F.col("p") + 1).cast("int").alias("piece_no"), (F.col("p") * F.col("capacity")).alias("start"), F.col("capacity").alias("length"))
-    rest = both.select("container_kind", "capacity", "item_id", F.floor(F.col("size") / F.col("capacity")).alias("p"), (F.col("size") % F.col("capacity")).alias("length")).where("length > 0")
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
-    counted = rest.groupBy("container_kind", "capacity", "length", "salt").agg(F.count("*").alias("n"))
+    last = F.floor((F.col("size") - 1) / F.col("capacity"))
+    pieces = both.select("container_kind", "capacity", "item_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("p"))
+    pieces = pieces.select("container_kind", "capacity", "item_id", "p", F.least("capacity", F.col("size") - F.col("p") * F.col("capacity")).alias("length"))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("item_id", "p"), F.lit(salts)))
+    counted = pieces.groupBy("container_kind", "capacity", "length", "salt").agg(F.count("*").alias("n"))
     offsets = counted.withColumn("before", F.sum("n").over(Window.partitionBy("container_kind", "length").orderBy("salt")) - F.col("n"))
 
     def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,17 +120,17 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, kind: st
         return out
 
     histogram = counted.groupBy("container_kind", "capacity", "length").agg(F.sum("n").alias("n"))
+    histogram = histogram.repartition(max(1, len(named)) * 4, "container_kind", "capacity")  # a stated number, which is not coalesced: kinds are planned side by side
     plans = histogram.groupBy("container_kind", "capacity").applyInPandas(plan, "container_kind string, length long, first_rank long, ranks long, per_bin long, first_bin long")
     by_length = plans.groupBy("container_kind", "length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "ranks", "per_bin", "first_bin"))).alias("plan"))
-    ranked = rest.withColumn("k", F.row_number().over(Window.partitionBy("container_kind", "length", "salt").orderBy(F.xxhash64("item_id"), "item_id")) - 1)
-    placed = ranked.join(offsets.select("container_kind", "length", "salt", "before"), ["container_kind", "length", "salt"]).withColumn("rank", F.col("k") + F.col("before"))
-    placed = placed.join(F.broadcast(by_length), ["container_kind", "length"])  # one row a length of each kind, whatever the number of items
+    own_steps = F.filter("plan", lambda s: (s["first_rank"] < F.col("before") + F.col("n")) & (s["first_rank"] + s["ranks"] > F.col("before")))
+    offsets = offsets.join(by_length, ["container_kind", "length"]).select("container_kind", "length", "salt", "before", own_steps.alias("plan"))
+    ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("container_kind", "length", "salt").orderBy(F.xxhash64("item_id"), "item_id", "p")) - 1)
+    placed = ranked.join(offsets, ["container_kind", "length", "salt"]).withColumn("rank", F.col("k") + F.col("before"))
     # the plan's steps are in order of rank: the wanted one is the last that begins at or before it
-    step = F.element_at(F.filter("plan", lambda s: s["first_rank"] <= F.col("rank")), -1)
-    placed = placed.withColumn("s", step)
+    placed = placed.withColumn("s", F.element_at(F.filter("plan", lambda s: s["first_rank"] <= F.col("rank")), -1))
     bin_no = F.col("s.first_bin") + F.floor((F.col("rank") - F.col("s.first_rank")) / F.col("s.per_bin"))
-    rests = placed.select("container_kind", F.concat_ws("-", F.lit("packed"), bin_no.cast("string")).alias("container_id"), "item_id", (F.col("p") + 1).cast("int").alias("piece_no"), (F.col("p") * F.col("capacity")).alias("start"), "length")
-    return full.unionByName(rests)
+    return placed.select("container_kind", F.concat_ws("-", F.lit("bin"), bin_no.cast("string")).alias("container_id"), "item_id", (F.col("p") + 1).cast("int").alias("piece_no"), (F.col("p") * F.col("capacity")).alias("start"), "length")
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame, kind: str, capacity: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,17 +48,6 @@ def cardinality(data: bytes) -> int:
     return (len(data) - 1) // 2 if data[:1] == b"a" else int(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)).sum())
 
 
-@F.pandas_udf(T.BinaryType())
-def _encode(positions: pd.Series) -> pd.Series:
-    return positions.map(encode)
-
-
-@F.pandas_udf(T.BinaryType())
-def union_agg(containers: pd.Series) -> bytes:
-    """Aggregate that merges containers, for bitmaps stored by parts."""
-    return union(list(containers))
-
-
 @F.pandas_udf(T.IntegerType())
 def bitmap_cardinality(data: pd.Series) -> pd.Series:
     return data.map(cardinality).astype("int32")
@@ -75,22 +66,69 @@ def record_numbers(rows: DataFrame, record: str, buckets: int) -> DataFrame:
     return numbered.select("record", (F.col("b") + F.floor(F.col("i") / CONTAINER) * buckets).cast("long").alias("container"), (F.col("i") % CONTAINER).cast("int").alias("position"))
 
 
+_KEYS = ["field_name", "term", "container"]
+_PARTS = "field_name string, term string, container long, occurrences long, bits binary"
+
+
+def partial_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Encoded containers and occurrence counters of the rows (field_name, term, container, position, n) of each batch; a null position only counts."""
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        pdf = pdf.sort_values([*_KEYS, "position"], kind="stable")
+        first = np.flatnonzero(np.r_[True, (pdf[_KEYS].iloc[1:].to_numpy() != pdf[_KEYS].iloc[:-1].to_numpy()).any(1)])
+        ends = np.r_[first[1:], len(pdf)]
+        positions = pdf["position"].to_numpy(float)
+        out = pdf[_KEYS].iloc[first].copy()
+        out["occurrences"] = np.add.reduceat(pdf["n"].to_numpy(np.int64), first)
+        parts = (positions[i:j] for i, j in zip(first, ends))
+        out["bits"] = [encode(x[~np.isnan(x)].astype(np.uint16)) for x in parts]
+        yield out
+
+
+def merge_bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Unions of the partial containers of each key and sums of their counters, of rows that come sorted by key; a key may go on in the next batch."""
+    held: tuple | None = None
+    done: list[tuple] = []
+    for pdf in batches:
+        for field, term, container, n, bits in pdf[[*_KEYS, "occurrences", "bits"]].itertuples(index=False):
+            key = (field, term, container)
+            if held is not None and held[0] == key:
+                held[1].append(bits)
+                held[2][0] += n
+            else:
+                if held is not None:
+                    done.append((*held[0], held[2][0], union(held[1])))
+                held = (key, [bits], [n])
+        if len(done) >= 10_000:
+            yield pd.DataFrame(done, columns=[*_KEYS, "occurrences", "bits"])
+            done = []
+    if held is not None:
+        done.append((*held[0], held[2][0], union(held[1])))
+    if done:
+        yield pd.DataFrame(done, columns=[*_KEYS, "occurrences", "bits"])
+
+
 def term_bitmaps(rows: DataFrame, record: str, terms: dict[str, Column], buckets: int = 512) -> DataFrame:
     """Vertical layout (field_name, term, container, occurrences, bits) of the terms of named columns.
 
     Rows are counted by (field, term, record) before any join, so that neither a
-    frequent term nor a frequent record gathers in one task; the identifiers are
-    then joined on and gathered by (field, term, container), which at most
-    ``CONTAINER`` records share. Null and empty terms do not count; occurrences
-    in rows without a record count in container -1, whose bitmap is empty.
-    Repeated rows count each time as occurrences and once as a record.
+    frequent term nor a frequent record gathers in one task. With the records'
+    numbers joined on, each map task builds the compressed containers of its rows
+    with occurrence counters beside them; only these partial bitmaps are sent on,
+    and merged by union where their key is sorted together. A container has at
+    most ``CONTAINER`` records, so a frequent term is many keys. Null and empty
+    terms do not count; occurrences in rows without a record count in container
+    -1, whose bitmap is empty. Repeated rows count each time as occurrences and
+    once as a record.
     """
     each = F.array(*[F.struct(F.lit(k).alias("field_name"), c.alias("term")) for k, c in terms.items()])
     pairs = rows.select(F.col(record).alias("record"), F.inline(each)).where(F.col("term") != "")
     pairs = pairs.groupBy("field_name", "term", "record").agg(F.count("*").alias("n"))
     numbered = pairs.join(record_numbers(rows, record, buckets), "record", "left")
-    gathered = numbered.groupBy("field_name", "term", F.coalesce("container", F.lit(-1).cast("long")).alias("container")).agg(F.sum("n").alias("occurrences"), F.collect_set("position").alias("positions"))
-    return gathered.select("field_name", "term", "container", "occurrences", _encode("positions").alias("bits"))
+    numbered = numbered.select("field_name", "term", F.coalesce("container", F.lit(-1).cast("long")).alias("container"), "position", "n")
+    partial = numbered.mapInPandas(partial_bitmaps, _PARTS)
+    return partial.repartition(*_KEYS).sortWithinPartitions(*_KEYS).mapInPandas(merge_bitmaps, _PARTS)
 
 
 def term_frequencies(bitmaps: DataFrame) -> DataFrame:

@@ -21,16 +21,21 @@ def test_split_tree_is_exact():
     assert abs(draws[:, 0].mean() - 15) < 0.5  # each shard expects its part of every source
 
 
-def test_plan_takes_what_is_wanted():
+def test_slots_take_what_is_wanted():
     rng = np.random.default_rng(2)
-    blocks = {"a": rng.integers(0, 50, 64), "b": rng.integers(1, 50, 64)}
-    wanted = {"a": int(blocks["a"].sum() * 2.4), "b": 17}
-    plan = M.plan_blocks(blocks, wanted, 8, 3)
-    got = Counter()
-    for s, b, _, shard, part in plan:
-        got[s] += int(blocks[s][b]) if part < 0 else part
-        assert 0 <= shard < 8
-    assert got == wanted and len({(s, b, r) for s, b, r, _, _ in plan}) == len(plan)
+    for wanted in (17, 900, 4321):
+        sizes = {b: int(n) for b, n in enumerate(rng.integers(0, 50, 64))}
+        plan = M.slots(sizes, wanted, 3)
+        assert sum(sizes[b] if part < 0 else part for b, _, part in plan) == wanted
+        assert len({(b, r) for b, r, _ in plan}) == len(plan) and M.slots(sizes, wanted, 3) == plan
+    assert M.slots({}, 5, 1) == [] and M.slots({1: 0}, 5, 1) == []
+
+
+def test_shards_follow_the_total(spark):
+    _, items = make(spark)
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], TARGETS)
+    out = M.mix(items, targets, "doc_id", "tokens", "source", "target_share", "max_repeats", total=60_000.0, blocks=8, shard_tokens=1_000).collect()
+    assert len({r.shard for r in out}) == 60 and abs(sum(r["size"] for r in out) - 60_000) < 400
 
 
 def make(spark, n=4000, seed=1):

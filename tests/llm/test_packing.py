@@ -61,3 +61,15 @@ def test_operator(spark):
     report = {r.container_kind: r for r in P.fill_report(P.pack(items, kinds, "doc_id", "tokens", "container_kind", "capacity_tokens"), kinds.dropDuplicates(), "container_kind", "capacity_tokens").collect()}
     assert report["small"].used == sum(sizes.values()) and report["small"].most <= 512
     assert P.pack(items.limit(0), kinds, "doc_id", "tokens", "container_kind", "capacity_tokens").count() == 0
+
+
+def test_repeated_items_never_share_a_place(spark):
+    items = spark.createDataFrame([("a", 1000)] * 2 + [("b", 512)] * 3 + [("c", 200)] * 5, "id string, tokens int")
+    kinds = spark.createDataFrame([("k", 512), ("wide", 700)], "kind string, cap int")
+    out = P.pack(items, kinds, "id", "tokens", "kind", "cap").collect()
+    used, total = {}, {}
+    for r in out:
+        used[r.container_kind, r.container_id] = used.get((r.container_kind, r.container_id), 0) + r.length
+        total[r.container_kind] = total.get(r.container_kind, 0) + r.length
+    assert all(n <= {"k": 512, "wide": 700}[k] for (k, _), n in used.items())
+    assert total == {"k": 4536, "wide": 4536}

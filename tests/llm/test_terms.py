@@ -37,10 +37,25 @@ def test_frequencies(spark, buckets, monkeypatch):
     bits = tb.term_bitmaps(df, "case_id", {"head": tb.normal_term(F.col("head"))}, buckets)
     got = {r.term: (r.occurrences, r.records) for r in tb.term_frequencies(bits).collect()}
     assert got == {t: (n, len(records[t])) for t, n in occurrences.items()}
-    merged = bits.where("term = 'amount' AND container >= 0").unionByName(bits.where("term = 'amount' AND container >= 0")).groupBy("term", "container").agg(tb.union_agg("bits").alias("bits"))
-    assert merged.select(F.sum(tb.bitmap_cardinality("bits"))).first()[0] == len(records["amount"])
+    keys = [(r.term, r.container) for r in bits.collect()]
+    assert len(keys) == len(set(keys))
     total = df.agg(F.count_distinct("case_id").alias("records_total"))
     marks = {r.term: r.mark for r in tb.marked(tb.term_frequencies(bits), total, 3, 0.2).collect()}
     n = total.first()[0]
     assert marks == {t: "rare" if len(records[t]) < 3 else "common" if len(records[t]) > 0.2 * n else None for t in occurrences}
     assert tb.term_frequencies(tb.term_bitmaps(df.limit(0), "case_id", {"head": F.col("head")})).count() == 0
+
+
+def test_partial_bitmaps_merge_across_batches():
+    import pandas as pd
+
+    def parts(rows):
+        return pd.DataFrame(rows, columns=["field_name", "term", "container", "position", "n"])
+
+    first = list(tb.partial_bitmaps(iter([parts([("f", "a", 0, 5.0, 2), ("f", "a", 0, 5.0, 1), ("f", "b", 1, 7.0, 1)]), parts([("f", "a", 0, 9.0, 4), ("f", "a", -1, None, 3)])])))
+    assert [len(p) for p in first] == [2, 2]
+    together = pd.concat(first).sort_values(["field_name", "term", "container"])
+    merged = pd.concat(tb.merge_bitmaps(iter([together.iloc[:2], together.iloc[2:]])))  # the key goes on in the next batch
+    got = {(r.term, r.container): (r.occurrences, list(tb.decode(r.bits))) for r in merged.itertuples()}
+    assert got == {("a", -1): (3, []), ("a", 0): (7, [5, 9]), ("b", 1): (1, [7])}
+    assert list(tb.merge_bitmaps(iter([]))) == []
