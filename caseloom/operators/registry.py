@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.ordered import numbered
+from caseloom.operators.ordered import numbered, prefix_sum
 
 
 def support(df: DataFrame, keys: Sequence[str], case: str) -> DataFrame:
@@ -50,8 +50,8 @@ def new_names_curve(df: DataFrame, name: str, by: str, ties: Sequence[str], widt
 
 
 def cumulative(curve: DataFrame, by: str, value: str, out: str) -> DataFrame:
-    """A curve with its running total; curves have one row a bucket, so one ordered window serves."""
-    return curve.withColumn(out, F.sum(value).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    """A curve with its running total, summed up in two levels: a curve has a row for every few rows of its table."""
+    return prefix_sum(curve, [], by, [], F.col(value), out)
 
 
 def hapax(df: DataFrame, keys: Sequence[str]) -> DataFrame:

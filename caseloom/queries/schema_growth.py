@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as t
 from caseloom.operators import registry as r
+from caseloom.operators.ordered import with_previous
 from caseloom.plans.sizing import broadcast_if_small
 from caseloom.sources.tables import table
 
@@ -55,11 +56,10 @@ def backfill_worklist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def backfill_cost(spark: SparkSession, folder: str) -> DataFrame:
-    """Calls to fill the promoted heads in: in all cases without them, and only in cases that share a head with a case that has them."""
-    a = _attributes(spark, folder).select("case_id", "head").distinct()
-    heads = r.support(a, ["head"], "case_id").where(F.col("support") >= HEADS_FROM * 5)
-    total = a.agg(F.count_distinct("case_id").alias("cases"))
-    return heads.withColumn("cases", total.scalar()).agg(F.sum(F.col("cases") - F.col("support")).alias("naive_calls"), F.count("*").alias("heads"))
+    """Calls to fill all promoted heads in: naive, in every case in their scope, and optimised, without the cases that have them; and the share that is saved."""
+    each = backfill_calls(spark, folder)
+    total = each.agg(F.count("*").alias("heads"), F.sum("naive_calls").alias("naive_calls"), F.sum("optimised_calls").alias("optimised_calls"))
+    return total.withColumn("saved", F.round(1 - F.col("optimised_calls") / F.col("naive_calls"), 6))
 
 
 def backfill_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,7 +81,7 @@ def minted_vocab(spark: SparkSession, folder: str) -> DataFrame:
     a = _attributes(spark, folder)
     words = r.support(a, ["head"], "case_id").where("support >= 4").select(F.col("head").alias("word")).unionByName(r.support(a.where("qualifier IS NOT NULL"), ["qualifier"], "case_id").where("support >= 4").select(F.col("qualifier").alias("word"))).distinct()
     forbidden = spark.createDataFrame([(w,) for w in ("other", "description", "unnamed", "misc", "miscellaneous", "")], "word string")
-    return words.join(F.broadcast(forbidden), "word", "left_anti").where(t.sensitive_name(F.col("word")).isNull())
+    return words.join(broadcast_if_small(forbidden), "word", "left_anti").where(t.sensitive_name(F.col("word")).isNull())
 
 
 def new_names_per_bucket(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,10 +92,9 @@ def new_names_per_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 def cumulative_names(spark: SparkSession, folder: str) -> DataFrame:
     """The curve of new names with its running total and first difference."""
-    from pyspark.sql import Window
-
     c = r.cumulative(new_names_per_bucket(spark, folder), "bucket", "new_names", "names_so_far")
-    return c.withColumn("change", F.col("new_names") - F.lag("new_names", 1, 0).over(Window.orderBy("bucket")))
+    c = with_previous(c, [], "bucket", [], ["new_names"])
+    return c.select("bucket", "new_names", "names_so_far", (F.col("new_names") - F.coalesce("previous.new_names", F.lit(0))).alias("change"))
 
 
 def canonical_curve(spark: SparkSession, folder: str) -> DataFrame:
@@ -190,6 +189,9 @@ _CURVE = """
     f AS (SELECT name, min((rn - 1) // 20) AS bucket FROM {source} GROUP BY 1),
     curve AS (SELECT b.bucket, count(f.name) AS new_names FROM b LEFT JOIN f ON b.bucket = f.bucket GROUP BY 1)
 """
+_BACKFILL = """, p AS (SELECT DISTINCT head, case_id FROM a), h AS (SELECT head FROM p GROUP BY 1 HAVING count(*) >= 4),
+        s AS (SELECT DISTINCT x.head, y.head AS category FROM p x JOIN p y ON x.case_id = y.case_id WHERE x.head IN (SELECT head FROM h)),
+        m AS (SELECT DISTINCT s.head, p.case_id FROM s JOIN p ON p.head = s.category)"""
 SQL = {
     "support_counts": _A + "SELECT head, qualifier, count(DISTINCT case_id) AS support FROM a WHERE qualifier IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT head, NULL, count(DISTINCT case_id) FROM a GROUP BY 1",
     "head_rollup": "SELECT r_name, count(DISTINCT c_custkey) AS support, count(DISTINCT n_name) AS nations FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
@@ -201,12 +203,9 @@ SQL = {
     "backfill_worklist": """
         SELECT c_custkey, c_mktsegment FROM customer c WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F')
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'F') ORDER BY c_custkey LIMIT 25""",
-    "backfill_cost": _A + """, h AS (SELECT head, count(DISTINCT case_id) AS support FROM a GROUP BY 1 HAVING count(DISTINCT case_id) >= 20)
-        SELECT sum((SELECT count(DISTINCT case_id) FROM a) - support)::BIGINT AS naive_calls, count(*) AS heads FROM h""",
-    "backfill_calls": _A + """, p AS (SELECT DISTINCT head, case_id FROM a), h AS (SELECT head FROM p GROUP BY 1 HAVING count(*) >= 4),
-        s AS (SELECT DISTINCT x.head, y.head AS category FROM p x JOIN p y ON x.case_id = y.case_id WHERE x.head IN (SELECT head FROM h)),
-        m AS (SELECT DISTINCT s.head, p.case_id FROM s JOIN p ON p.head = s.category)
-        SELECT m.head, count(*) AS naive_calls, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p WHERE p.head = m.head AND p.case_id = m.case_id)) AS optimised_calls FROM m GROUP BY 1""",
+    "backfill_cost": _A + _BACKFILL + """, e AS (SELECT m.head, count(*) AS naive, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p WHERE p.head = m.head AND p.case_id = m.case_id)) AS optimised FROM m GROUP BY 1)
+        SELECT count(*) AS heads, sum(naive)::BIGINT AS naive_calls, sum(optimised)::BIGINT AS optimised_calls, round(1 - sum(optimised) / sum(naive), 6) AS saved FROM e""",
+    "backfill_calls": _A + _BACKFILL + " SELECT m.head, count(*) AS naive_calls, count(*) FILTER (NOT EXISTS (SELECT 1 FROM p WHERE p.head = m.head AND p.case_id = m.case_id)) AS optimised_calls FROM m GROUP BY 1",
     "escape_valve_facts": _A + f""", k AS (SELECT head, case_id, {kind_sql('value')} AS kind FROM a WHERE head IN ('other', 'description', 'document', 'reason'))
         SELECT head, kind, count(*) AS facts, count(DISTINCT case_id) AS cases FROM k WHERE kind IN ('money', 'date', 'number', 'identifier', 'phrase') GROUP BY 1, 2""",
     "minted_vocab": _A + f""", w AS (SELECT head AS word FROM a GROUP BY 1 HAVING count(DISTINCT case_id) >= 4 UNION SELECT qualifier FROM a WHERE qualifier IS NOT NULL GROUP BY 1 HAVING count(DISTINCT case_id) >= 4)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as t
 from caseloom.operators import calibration as cal
 from caseloom.operators import rules
-from caseloom.operators.ordered import top_k
+from caseloom.operators.ordered import quantiles, top_k
 from caseloom.plans.sizing import broadcast_if_small
 from caseloom.sources.tables import table
 
@@ -171,18 +171,9 @@ def key_fact_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latency_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Nearest-rank half and 95th quantile and interpolated median of the values of each type of event.
-
-    Ranks come from counts by value, so no type has to be sorted whole in one task.
-    """
-    e = table(spark, folder, "events").where("value IS NOT NULL")
-    levels = e.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    levels = levels.withColumn("upto", F.sum("n").over(up))
-    total = levels.groupBy("event_type").agg(F.max("upto").alias("n_all"))
-    x = levels.join(broadcast_if_small(total), "event_type")
-    at = lambda pos: F.min(F.when(F.col("upto") > pos, F.col("value")))
-    q = x.groupBy("event_type").agg(at(F.floor(F.col("n_all") / 2)).alias("p50"), at(F.floor(F.col("n_all") * 0.95)).alias("p95"), at(F.floor((F.col("n_all") - 1) / 2)).alias("lo"), F.max("n_all").alias("n"))
+    """Nearest-rank half and 95th quantile and interpolated median of the values of each type of event; in two levels, so no type is sorted in one task."""
+    n = F.col("n")
+    q = quantiles(table(spark, folder, "events"), ["event_type"], "value", {"p50": F.floor(n / 2), "p95": F.floor(n * 0.95), "lo": F.floor((n - 1) / 2)})
     return q.select("event_type", "n", "p50", "p95", F.round((F.col("lo") + F.col("p50")) / 2, 6).alias("median"))
 
 

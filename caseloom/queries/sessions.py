@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators.ordered import gap_sessions, latest_by, numbered, with_previous
+from caseloom.operators.ordered import gap_sessions, latest_by, numbered, running_max, with_previous
 from caseloom.sources.tables import table
 
 DAY = 86_400
@@ -25,22 +25,8 @@ def sessions_24h(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def window_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    """Decision on each session of a user: new, follow-up, reopened (within four days of a terminal last event) or ambiguous."""
-    e = table(spark, folder, "events").select("user_id", "event_id", "ts", "event_type")
-    s = gap_sessions(e, ["user_id"], "ts", ["event_id"], DAY)
-    ends = latest_by(s, ["user_id", "session_no"], ["ts", "event_id"], ["event_type", "ts"]).withColumnsRenamed({"event_type": "last_type", "ts": "last_ts"})
-    starts = s.groupBy("user_id", "session_no").agg(F.min("ts").alias("start_ts"))
-    prior = ends.select("user_id", (F.col("session_no") + 1).alias("session_no"), "last_type", "last_ts")
-    d = starts.join(prior, ["user_id", "session_no"], "left")
-    gap = (F.unix_micros(F.col("start_ts").cast("timestamp")) - F.unix_micros(F.col("last_ts").cast("timestamp"))) / 1_000_000
-    decision = (
-        F.when(F.col("last_ts").isNull(), "new_no_prior")
-        .when((F.col("last_type") == "error") & (gap > REOPEN_DAYS * DAY), "new_terminal")
-        .when(F.col("last_type") == "error", "classify_terminal")
-        .when(gap <= DAY, "follow_up")
-        .otherwise("classify_idle")
-    )
-    return d.select("user_id", "session_no", decision.alias("decision"))
+    """Decisions on all events, counted by user."""
+    return event_decisions(spark, folder).groupBy("user_id", "decision").agg(F.count("*").alias("events"))
 
 
 def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,16 +54,7 @@ def session_cases(spark: SparkSession, folder: str) -> DataFrame:
 def late_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events that come later than a newer one: how late they are against the newest moment before them in order of arrival, by type."""
     e = table(spark, folder, "inbound_message").select("message_id", "tenant_id", F.unix_micros(F.col("received_at").cast("timestamp")).alias("u"))
-    ordered = numbered(e, [], "message_id", [], "n")
-    # running maximum by blocks of arrival: the block's own, and the greatest of the blocks before
-    from pyspark.sql import Window
-
-    block = F.floor((F.col("n") - 1) / 4096)
-    ordered = ordered.withColumn("block", block)
-    inside = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    tops = ordered.groupBy("block").agg(F.max("u").alias("top"))
-    tops = tops.select("block", F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    x = ordered.withColumn("own", F.max("u").over(inside)).join(tops, "block").withColumn("newest", F.greatest("own", "before"))
+    x = running_max(e, [], "message_id", [], F.col("u"), "newest")
     return x.where("u < newest").groupBy("tenant_id").agg(F.count("*").alias("late"), F.max(F.floor((F.col("newest") - F.col("u")) / 1_000_000)).alias("most_seconds"))
 
 
@@ -108,18 +85,15 @@ _SESSIONS = """
     g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 24 HOURS OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS brk FROM m WINDOW w AS (PARTITION BY {keys} ORDER BY ts, {id})),
     s AS (SELECT *, sum(brk) OVER (PARTITION BY {keys} ORDER BY ts, {id})::BIGINT AS session_no FROM g)
 """
+_DECIDED = """
+    WITH d AS (SELECT user_id, event_id, ts, lag(event_id) OVER w AS last_id, lag(event_type) OVER w AS last_type, lag(ts) OVER w AS last_ts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    , x AS (SELECT user_id, event_id, CASE WHEN last_id IS NULL THEN 'new_no_prior' WHEN last_type = 'error' AND ts - last_ts > INTERVAL 96 HOURS THEN 'new_terminal'
+    WHEN last_type = 'error' THEN 'classify_terminal' WHEN ts - last_ts <= INTERVAL 24 HOURS THEN 'follow_up' ELSE 'classify_idle' END AS decision FROM d)"""
 SQL = {
     "sessions_24h": _SESSIONS.format(keys="tenant_id, sender", id="message_id", ts="received_at", more="", table="inbound_message", where="trim(sender) <> ''")
     + "SELECT tenant_id, sender, session_no, count(*) AS messages, min(message_id) AS first_message, min(ts) AS started, max(ts) AS ended FROM s GROUP BY 1, 2, 3",
-    "window_decisions": _SESSIONS.format(keys="user_id", id="event_id", ts="ts", more=", event_type", table="events", where="ts IS NOT NULL")
-    + """, r AS (SELECT user_id, session_no, min(ts) AS start_ts, max_by(event_type, (ts, event_id)) AS last_type, max(ts) AS last_ts FROM s GROUP BY 1, 2),
-    d AS (SELECT user_id, session_no, start_ts, lag(last_type) OVER w AS last_type, lag(last_ts) OVER w AS last_ts FROM r WINDOW w AS (PARTITION BY user_id ORDER BY session_no))
-    SELECT user_id, session_no, CASE WHEN last_ts IS NULL THEN 'new_no_prior' WHEN last_type = 'error' AND start_ts - last_ts > INTERVAL 96 HOURS THEN 'new_terminal'
-        WHEN last_type = 'error' THEN 'classify_terminal' WHEN start_ts - last_ts <= INTERVAL 24 HOURS THEN 'follow_up' ELSE 'classify_idle' END AS decision FROM d""",
-    "event_decisions": """
-        WITH d AS (SELECT user_id, event_id, ts, lag(event_id) OVER w AS last_id, lag(event_type) OVER w AS last_type, lag(ts) OVER w AS last_ts FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT user_id, event_id, CASE WHEN last_id IS NULL THEN 'new_no_prior' WHEN last_type = 'error' AND ts - last_ts > INTERVAL 96 HOURS THEN 'new_terminal'
-        WHEN last_type = 'error' THEN 'classify_terminal' WHEN ts - last_ts <= INTERVAL 24 HOURS THEN 'follow_up' ELSE 'classify_idle' END AS decision FROM d""",
+    "window_decisions": _DECIDED + " SELECT user_id, decision, count(*) AS events FROM x GROUP BY 1, 2",
+    "event_decisions": _DECIDED + " SELECT user_id, event_id, decision FROM x",
     "session_cases": "SELECT tenant_id, sender, min(received_at) AS first_contact, arg_min(channel, (received_at, message_id)) AS channel, 'created' AS state FROM inbound_message WHERE trim(sender) <> '' GROUP BY 1, 2",
     "late_events": """
         WITH x AS (SELECT tenant_id, epoch_us(received_at) AS u, max(epoch_us(received_at)) OVER (ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM inbound_message)
