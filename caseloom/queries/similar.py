@@ -29,10 +29,10 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mint_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of at least three members with the labels they span, the largest first."""
+    """Components that span at least three distinct labels, which stand for cases; the largest first."""
     e = _vectors(spark, folder).select(F.col("vec_id").alias("id"), "label")
     c = components(spark, folder).join(e, "id")
-    return c.groupBy("component").agg(F.count("*").alias("members"), F.count_distinct("label").alias("labels")).where("members >= 3").orderBy(F.desc("members"), "component")
+    return c.groupBy("component").agg(F.count("*").alias("members"), F.count_distinct("label").alias("labels")).where("labels >= 3").orderBy(F.desc("members"), "component")
 
 
 def knn_top2_margin(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +153,7 @@ _RESOLVE = """
 SQL = {
     "similarity_edges": f"SELECT id_a, id_b, round(similarity, 6) AS similarity FROM ({_EDGES})",
     "components": _COMPONENTS + "SELECT id, component FROM comp",
-    "mint_candidates": _COMPONENTS + "SELECT component, count(*) AS members, count(DISTINCT label) AS labels FROM comp JOIN embeddings ON vec_id = id GROUP BY 1 HAVING count(*) >= 3",
+    "mint_candidates": _COMPONENTS + "SELECT component, count(*) AS members, count(DISTINCT label) AS labels FROM comp JOIN embeddings ON vec_id = id GROUP BY 1 HAVING count(DISTINCT label) >= 3",
     "knn_top2_margin": f"""
         WITH p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, {_COS} AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nxt FROM p WINDOW w AS (PARTITION BY id_a ORDER BY s DESC, id_b))

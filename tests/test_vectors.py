@@ -75,3 +75,23 @@ def test_bands_and_canonicals(spark):
     names = spark.createDataFrame([("h", "a", [1.0, 0.0], 1), ("h", "b", [0.99, 0.1], 2), ("h", "c", [0.0, 1.0], 3), ("g", "d", [1.0, 0.0], 4), (None, "e", [1.0, 0.0], 5), ("h", "f", None, 6)], "head string, name string, v array<double>, o long")
     got = {r.name: (r.canonical, r.method) for r in registry.canonicalise(names, "head", "name", "v", "o").collect()}
     assert got == {"a": ("a", "seed"), "b": ("a", "merge"), "c": ("c", "admit_new"), "d": ("d", "seed")}
+
+
+@pytest.mark.parametrize("least", [0.7, 0.85])
+def test_the_index_finds_nine_tenths_and_more(spark, least):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(60, 32))
+    x = np.repeat(base, 20, 0) + 0.45 * rng.normal(size=(1200, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    exact = {(r.id_a, r.id_b): r.similarity for r in vectors.similarity_edges(df, "id", "v", least).collect()}
+    found = {(r.id_a, r.id_b): r.similarity for r in vectors.similarity_edges(df, "id", "v", least, recall=0.95).collect()}
+    assert len(exact) > 1000 and set(found) <= set(exact)
+    assert len(found) >= 0.95 * len(exact) and all(abs(found[k] - exact[k]) < 1e-9 for k in found)
+    assert vectors.similarity_edges(df.limit(0), "id", "v", least, recall=0.95).count() == 0
+
+
+def test_index_is_more_selective_for_nearer_pairs():
+    (b1, t1), (b2, t2) = vectors.bands(0.7, 0.95), vectors.bands(0.9, 0.95)
+    assert b2 > b1 and t1 <= 256 and t2 <= 256
+    same = 1 - np.arccos(0.9) / np.pi
+    assert 1 - (1 - same**b2) ** t2 >= 0.95
