@@ -200,10 +200,11 @@ def without_marks(c: Column) -> Column:
     return F.trim(F.translate(c, "\u202f\u00a0\u200e\u200f\u202a\u202b\u202c\u2066\u2067\u2068\u2069", "  "))
 
 
-def fingerprint(c: Column, length: int = 200) -> Column:
-    """Near-duplicate key: without placeholders and digits, single spaces, lower case, the first ``length`` characters."""
+def fingerprint(c: Column, length: int | None = None) -> Column:
+    """Near-duplicate key: without placeholders and digits, single spaces, lower case; of the whole text, or of its first ``length`` characters."""
     plain = F.regexp_replace(F.regexp_replace(c, "XX+|[0-9]+", ""), "[ \\t\\n\\r]+", " ")
-    return F.substring(F.trim(F.lower(plain)), 1, length)
+    whole = F.trim(F.lower(plain))
+    return whole if length is None else F.substring(whole, 1, length)
 
 
 def meaningful(c: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as t
+from caseloom.operators.vectors import nearest
+from caseloom.plans.sizing import broadcast_if_small
 
 
 def melt(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def profile_fields(cells: DataFrame, unique_from: float = 0.9, contact_from: flo
 
 def external_ids(cells: DataFrame, profile: DataFrame, key: str) -> DataFrame:
     """(key, field, value): each record's display id, by preference a key named like an identifier, then any that is no contact, then any; within these the most unique, then by name."""
-    keys = F.broadcast(profile.where("is_key").select("field", "uniqueness"))  # one row a column
+    keys = broadcast_if_small(profile.where("is_key").select("field", "uniqueness"))
     tier = F.when(t.identifier_name(F.col("field")) & ~t.contact_name(F.col("field")), 0).when(~t.contact_name(F.col("field")), 1).otherwise(2)
     best = F.min_by(F.struct("field", "value"), F.struct(tier, -F.col("uniqueness"), F.col("field")))
     return cells.join(keys, "field").groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
@@ -69,3 +71,25 @@ def top_margin(pairs: DataFrame) -> DataFrame:
     """(id_a, best, similarity, margin) of ranked neighbours; an absent runner-up counts as 0."""
     w = Window.partitionBy("id_a").orderBy("rank")
     return pairs.withColumn("margin", F.col("similarity") - F.coalesce(F.lead("similarity").over(w), F.lit(0.0))).where("rank = 1").select("id_a", F.col("id_b").alias("best"), "similarity", "margin")
+
+
+def name_vector(name: Column, width: int = 128) -> Column:
+    """A name as a vector: counts of its padded character trigrams, hashed to ``width`` places. Names of like spelling have a high cosine; null and blank names have none."""
+    padded = F.concat(F.lit("  "), F.lower(F.trim(name)), F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.pmod(F.xxhash64(F.substring(padded, i, F.lit(3))), F.lit(width)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
+    return F.when(F.trim(name) != "", counts)
+
+
+def resolve_by_name(probes: DataFrame, records: DataFrame, key: str, within: str, name: str, tau: float = 0.72, least_margin: float = 0.06) -> DataFrame:
+    """(key, mode, bound) of probes that have only a name: the nearest record of their group binds silently from ``tau`` and ``least_margin`` on, is asked about from ``tau`` on, and else nothing is known.
+
+    ``key`` of both is a long. Probes are a stated query set; they meet all
+    records of their group in blocks. Blank names elicit.
+    """
+    vector = lambda df, sign: df.select((F.col(key) * sign).alias("id"), F.col(within).alias("g"), name_vector(F.col(name)).alias("v"))
+    near = top_margin(nearest(vector(probes, -1), vector(records, 1), "id", "v", 2, within="g"))
+    out = probes.select(key).join(near.select((-F.col("id_a")).alias(key), "best", "similarity", "margin"), key, "left")
+    none = F.lit(None).cast("string")
+    mode = resolve_with_name(none, F.lit(0), none, F.lit(0), F.lit(False), F.coalesce("similarity", F.lit(0.0)), F.coalesce("margin", F.lit(0.0)), tau, least_margin)
+    return out.select(key, mode.alias("mode"), F.when(mode == "silent", F.col("best")).alias("bound"))

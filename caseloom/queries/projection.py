@@ -103,7 +103,7 @@ def claim_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def outbound_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Outbound texts by (case, hash of the text): each claimed once, by its first document."""
-    d = table(spark, folder, "documents").where("case_id IS NOT NULL AND source = 'email'")
+    d = table(spark, folder, "documents").where("case_id IS NOT NULL")
     keyed = d.select("case_id", logs.idempotency_key(F.col("case_id"), F.col("text")).alias("claim"), "doc_id")
     return logs.first_writer(keyed, ["case_id", "claim"], ["doc_id"], ["doc_id"])
 
@@ -202,7 +202,7 @@ SQL = {
         WITH e AS (SELECT *, {_K} AS k FROM events)
         SELECT DISTINCT user_id, k FROM e WHERE NOT EXISTS (SELECT 1 FROM e d WHERE d.user_id = e.user_id AND d.k = e.k AND d.event_type = 'purchase')""",
     "outbound_claims": """
-        SELECT case_id, sha256(case_id || chr(31) || text) AS claim, min(doc_id) AS doc_id FROM documents WHERE case_id IS NOT NULL AND source = 'email' GROUP BY 1, 2""",
+        SELECT case_id, sha256(case_id || chr(31) || text) AS claim, min(doc_id) AS doc_id FROM documents WHERE case_id IS NOT NULL GROUP BY 1, 2""",
     "check_constraints": """
         SELECT rule, count(*) AS broken FROM (
             SELECT 'quantity_range' AS rule FROM lineitem WHERE NOT l_quantity BETWEEN 1 AND 45

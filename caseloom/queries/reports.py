@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.operators.ordered import latest_by
+from caseloom.functions import text as t
+from caseloom.operators.ordered import latest_by, numbered
+from caseloom.operators.provenance import disjoint_spans, grounded_claims
 from caseloom.sources.objects import synthetic_orders, webhook_messages
 from caseloom.sources.tables import table
 
@@ -58,11 +60,47 @@ def webhook_flatten(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def highlighted_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Spans of a word to highlight in each message: clamped to the text, none over another."""
+    """Spans to highlight in each message: every "order" and ten characters from every "the", clamped to the text, none over another."""
     m = table(spark, folder, "inbound_message").where("text IS NOT NULL")
-    parts = F.split(F.lower("text"), "order", -1)
-    n = F.size(parts) - 1
-    return m.select("message_id", n.cast("long").alias("spans")).where("spans > 0")
+    starts = lambda word: F.transform(F.filter(F.sequence(F.lit(0), F.length("text")), lambda i: F.lower(F.substring("text", i + 1, len(word))) == word), lambda i: i)
+    wanted = F.concat(F.transform(starts("order"), lambda i: F.struct(i.alias("start"), (i + 5).alias("end"))), F.transform(starts("the"), lambda i: F.struct(i.alias("start"), (i + 10).alias("end"))))
+    spans = m.select("message_id", disjoint_spans(wanted, F.length("text")).alias("s")).where(F.size("s") > 0)
+    return spans.select("message_id", F.size("s").cast("long").alias("spans"), F.aggregate("s", F.lit(0), lambda n, x: n + x["end"] - x["start"]).cast("long").alias("covered"), F.element_at("s", -1)["end"].cast("long").alias("last_end"))
+
+
+def grounded_contradictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Contradictions that cite a field of the uploaded record, by field: claims on absent fields and empty claims are dropped."""
+    o = table(spark, folder, "spike_bakery_objects")
+    record = F.map_filter(F.create_map(*[c for f in ("order_id", "phone", "customer_name", "slot", "delivered_at") for c in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull())
+    claim = lambda f, v, c: F.struct(F.lit(f).alias("record_field"), v.alias("record_value"), c.alias("claim"))
+    claims = F.array(claim("slot", F.col("slot"), F.col("delivered_at")), claim("phone", F.col("phone"), F.col("items")), claim("driver", F.col("items"), F.col("items")))
+    return o.select(F.explode(grounded_claims(claims, record)).alias("c")).groupBy(F.col("c.record_field").alias("record_field")).agg(F.count("*").alias("n"))
+
+
+def pending_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """The question that waits in the state document of each order in progress, read by its path."""
+    o = table(spark, folder, "orders")
+    doc = F.to_json(F.struct(F.struct(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("priority "), "o_orderpriority")).alias("next_question")).alias("elicit")))
+    return o.where("o_orderstatus = 'P'").select("o_orderkey", F.get_json_object(doc, "$.elicit.next_question").alias("question")).where("question IS NOT NULL")
+
+
+def case_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages and files of each case, not its other documents, in the order they came."""
+    d = table(spark, folder, "documents").where(F.col("case_id").isNotNull() & F.col("source").isin("chat_export", "email", "scanned_letter"))
+    return numbered(d.select("case_id", "doc_id", "received_at"), ["case_id"], "received_at", ["doc_id"], "position").select("case_id", "doc_id", "position")
+
+
+def undeduped_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that still have to be compared: those that are no head alone and have no vector yet."""
+    a = table(spark, folder, "emergent_attribute")
+    names = a.select(t.snake(F.col("head")).alias("head"), t.compose_name(t.snake(F.col("head")), t.snake(F.col("qualifier"))).alias("name")).where("name <> head").distinct()
+    done = a.where("grounded").select(t.compose_name(t.snake(F.col("head")), t.snake(F.col("qualifier"))).alias("name")).distinct()
+    return names.join(done, "name", "left_anti").select("head", "name")
+
+
+def object_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One record by its identifier, a point lookup that the scan's filter serves."""
+    return table(spark, folder, "spike_bakery_objects").where("object_id = 42").select("object_id", "tenant_id", "order_id", "items")
 
 
 def json_guard(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,8 +113,6 @@ def json_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 def layer_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Layer of every attribute by its composed name where none is given: an underscore means emergent."""
-    from caseloom.functions import text as t
-
     a = table(spark, folder, "emergent_attribute").withColumn("name", t.compose_name(F.col("head"), F.col("qualifier")))
     return a.groupBy(F.when(F.contains("name", F.lit("_")), "emergent").otherwise("governed").alias("layer")).agg(F.count("*").alias("n"))
 
@@ -102,7 +138,7 @@ def synthetic_truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    register, review_queue, case_review, case_report, case_references, webhook_flatten, highlighted_spans, json_guard, layer_fallback, low_values, upload_limits, synthetic_truth,
+    register, review_queue, case_review, case_report, case_references, webhook_flatten, highlighted_spans, grounded_contradictions, pending_questions, case_documents, undeduped_variants, object_lookup, json_guard, layer_fallback, low_values, upload_limits, synthetic_truth,
 )}
 
 _NAME = "trim(regexp_replace(lower(head), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -122,7 +158,20 @@ SQL = {
         SELECT case_id, 'C-' || upper(right(string_split(case_id, '-')[-1], 8)) AS reference, CASE max_by(source, (received_at, doc_id)) WHEN 'voice_transcript' THEN 'asr' WHEN 'scanned_letter' THEN 'ocr' ELSE 'text' END AS model
         FROM documents WHERE case_id IS NOT NULL GROUP BY 1""",
     "webhook_flatten": "SELECT substr(sender, 1, 1) AS first, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM inbound_message WHERE text IS NOT NULL GROUP BY 1",
-    "highlighted_spans": "SELECT message_id, len(string_split(lower(text), 'order')) - 1 AS spans FROM inbound_message WHERE contains(lower(text), 'order')",
+    "highlighted_spans": """
+        WITH RECURSIVE w AS (SELECT message_id, length(text) AS len, i AS s, least(CASE WHEN lower(text[i + 1:i + 5]) = 'order' THEN i + 5 ELSE i + 10 END, length(text)) AS e
+            FROM (SELECT message_id, text, unnest(range(0, length(text))) AS i FROM inbound_message WHERE text IS NOT NULL) WHERE lower(text[i + 1:i + 5]) = 'order' OR lower(text[i + 1:i + 3]) = 'the'),
+        k AS (SELECT message_id, min(s) AS s, min_by(e, (s, e)) AS e FROM w GROUP BY 1
+            UNION ALL SELECT k.message_id, n.s, n.e FROM k, LATERAL (SELECT w.s, w.e FROM w WHERE w.message_id = k.message_id AND w.s >= k.e ORDER BY w.s, w.e LIMIT 1) n)
+        SELECT message_id, count(*) AS spans, sum(e - s)::BIGINT AS covered, max(e) AS last_end FROM k GROUP BY 1""",
+    "grounded_contradictions": """
+        SELECT record_field, count(*) AS n FROM (SELECT 'slot' AS record_field FROM spike_bakery_objects WHERE slot <> '' AND delivered_at <> '' UNION ALL SELECT 'phone' FROM spike_bakery_objects WHERE phone <> '' AND items <> '') GROUP BY 1""",
+    "pending_questions": "SELECT o_orderkey, 'priority ' || o_orderpriority AS question FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0",
+    "case_documents": "SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY received_at, doc_id) AS position FROM documents WHERE case_id IS NOT NULL AND source IN ('chat_export', 'email', 'scanned_letter')",
+    "undeduped_variants": f"""
+        WITH a AS (SELECT {_NAME} AS h, {_NAME.replace('head', 'qualifier')} AS q, grounded FROM emergent_attribute), n AS (SELECT h AS head, CASE WHEN coalesce(q, '') NOT IN ('', h) THEN q || '_' || h ELSE h END AS name, grounded FROM a)
+        SELECT DISTINCT head, name FROM n WHERE name <> head AND name NOT IN (SELECT name FROM n WHERE grounded)""",
+    "object_lookup": "SELECT object_id, tenant_id, order_id, items FROM spike_bakery_objects WHERE object_id = 42",
     "json_guard": "SELECT event_type, count(*) AS n, count(*) FILTER (event_type <> 'error') AS objects FROM events GROUP BY 1",
     "layer_fallback": f"""
         WITH a AS (SELECT {_NAME} AS h, {_NAME.replace('head', 'qualifier')} AS q FROM emergent_attribute)

@@ -10,6 +10,7 @@ from caseloom.operators import calibration as cal
 from caseloom.operators import rules
 from caseloom.operators.ordered import quantiles, top_k
 from caseloom.plans.sizing import broadcast_if_small
+from caseloom.sources import labels
 from caseloom.sources.tables import table
 
 _GOLD = {"category": "gold_category", "desired_outcome": "gold_desired_outcome", "severity": "gold_severity_signal", "emotion": "gold_emotion_signal"}
@@ -49,7 +50,8 @@ def calibrated_confidence(spark: SparkSession, folder: str) -> DataFrame:
     """Confidence of every prediction and its route."""
     x = _long(spark, folder)
     y = x.join(broadcast_if_small(cal.reliability(x).select("field", "predicted", "reliability")), ["field", "predicted"], "left").join(broadcast_if_small(cal.field_default(x)), "field", "left")
-    conf = cal.confidence(F.col("predicted"), F.col("reliability"), F.col("default_reliability"), F.col("grounding"))
+    fitted = cal.field_default(x).agg(F.count("*") > 0).scalar()
+    conf = cal.confidence(F.col("predicted"), F.col("reliability"), F.col("default_reliability"), F.col("grounding"), fitted)
     return y.groupBy("field", cal.route(conf, F.lit(0.8)).alias("route")).agg(F.count("*").alias("n"))
 
 
@@ -161,13 +163,36 @@ def stratified_first_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "cfpb_labels").select("id", "product"), ["product"], [F.col("id")], 5, "k").select("id", "product")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction documents of a stand-in for a model, as it would write them: none for ids that 19 divides, broken ones where 23 does; of the facts every third is missing, the others are in capitals."""
+    x = _labels(spark, folder).join(table(spark, folder, "cfpb_labels").select("id", "gold_key_facts"), "id")
+    items = F.filter(F.transform(F.split("gold_key_facts", ";"), F.trim), lambda f: f != "")
+    facts = F.transform(F.filter(items, lambda f, i: (F.col("id") + i) % 3 != 0), F.upper)
+    governed = F.map_filter(F.create_map(*[c for f in _GOLD for c in (F.lit(f), F.coalesce(F.col(f"pred_{f}"), F.lit("")))]), lambda _, v: v != "")
+    doc = F.when(F.col("id") % 23 == 0, "{broken").otherwise(F.to_json(F.struct(governed.alias("governed"), facts.alias("facts"))))
+    return x.where("id % 19 <> 0").select("id", doc.alias("line"))
+
+
+def gold_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold labels against the predictions of their id: rows judged and right by field, and those excluded because the prediction is missing or failed."""
+    gold = _long(spark, folder).select("id", "field", "gold")
+    x = labels.judged(gold, labels.parse_predictions(_documents(spark, folder), "id", "line"))
+    read = F.col("status") == "read"
+    labelled = F.col("gold").isNotNull()
+    return x.groupBy("field").agg(
+        F.count_if(read & labelled).alias("judged"), F.count_if(read & labelled & (F.col("gold") == F.coalesce("predicted", F.lit("")))).alias("right"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "missing").alias("missing"),
+    )
+
+
 def key_fact_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts of each label whose words are in its next fact by half or more."""
-    c = table(spark, folder, "cfpb_labels").where("gold_key_facts IS NOT NULL")
-    items = c.select("id", F.filter(F.transform(F.split("gold_key_facts", ";"), F.trim), lambda x: x != "").alias("items"))
-    p = items.select("id", F.posexplode("items").alias("i", "item"), "items").select("id", "i", "item", F.get("items", F.col("i") + 1).alias("nxt")).where("nxt IS NOT NULL")
-    want, have = F.array_distinct(t.tokens(F.col("item"))), F.array_distinct(t.tokens(F.col("nxt")))
-    return p.groupBy("id").agg(F.count("*").alias("facts"), F.count_if(F.size(F.array_intersect(want, have)) >= 0.5 * F.size(want)).alias("recalled"))
+    """Gold facts of each label, and how many have half of their words or more in one predicted fact; labels without a readable prediction are left out."""
+    items = F.filter(F.transform(F.split("gold_key_facts", ";"), F.trim), lambda x: x != "")
+    gold = table(spark, folder, "cfpb_labels").where("gold_key_facts IS NOT NULL").select("id", items.alias("items"))
+    p = labels.parse_predictions(_documents(spark, folder), "id", "line").where("status = 'read'").select("id", "facts")
+    have = F.transform(F.coalesce("facts", F.array().cast("array<string>")), lambda f: F.array_distinct(t.tokens(f)))
+    want = gold.join(p, "id").select("id", F.explode("items").alias("item"), have.alias("have")).withColumn("want", F.array_distinct(t.tokens(F.col("item"))))
+    recalled = F.exists("have", lambda h: F.size(F.array_intersect(F.col("want"), h)) >= 0.5 * F.size("want"))
+    return want.groupBy("id").agg(F.count("*").alias("facts"), F.count_if(recalled).alias("recalled"))
 
 
 def latency_quantiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,12 +208,18 @@ def mode_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", "event_type")).alias("mode"), F.round(F.max("n") / F.sum("n"), 6).alias("agreement"))
 
 
-def questions_median(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempts per case: histogram, as counts of cases by number of facts left open."""
+def questions_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases by the number of facts left open, each of which asks a question."""
     x = _long(spark, folder).groupBy("id").agg(F.count_if(F.col("gold").isNull()).alias("open"))
     return x.groupBy("open").agg(F.count("*").alias("cases"))
 
 
+def questions_median(spark: SparkSession, folder: str) -> DataFrame:
+    """Interpolated median of the questions of a case, with the most and the number of cases, from the histogram."""
+    h = questions_histogram(spark, folder)
+    return h.agg(F.sum("cases").alias("cases"), F.max("open").alias("most")).withColumn("median", cal.interpolated_median(h, "open", "cases").scalar())
+
+
 #: A stated sample policy; a deployment brings its own.
 POLICY = rules.parse_policy(
     [
@@ -214,7 +245,7 @@ def rules_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     unpivoted_labels, calibration_fit, calibrated_confidence, loo_tau, accepted_curve, threshold_sweep, error_bounds, field_accuracy, zero_edit, edit_breakdown, confusion_topk, majority_baseline, class_recall,
-    label_agreement, version_matrix, label_mask, verdicts, planted_probes, stratified_first_k, key_fact_recall, latency_quantiles, mode_agreement, questions_median, rules_sla, rules_audit,
+    label_agreement, version_matrix, label_mask, verdicts, planted_probes, stratified_first_k, key_fact_recall, gold_predictions, latency_quantiles, mode_agreement, questions_histogram, questions_median, rules_sla, rules_audit,
 )}
 
 _X = "WITH x AS (" + " UNION ALL ".join(
@@ -222,7 +253,7 @@ _X = "WITH x AS (" + " UNION ALL ".join(
 ) + ")"
 _LOO = """, k AS (SELECT *, (predicted = gold)::INT AS ok FROM x WHERE predicted IS NOT NULL AND gold IS NOT NULL),
     l AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY {p}) > 1 THEN (sum(ok) OVER (PARTITION BY {p}) - ok)::DOUBLE / (count(*) OVER (PARTITION BY {p}) - 1) ELSE 0 END * grounding AS loo FROM k {w})"""
-_CAT = _X + _LOO.format(p="predicted", w="WHERE field = 'category'")
+_CAT = _X + _LOO.format(p="field, predicted", w="WHERE field = 'category'")
 SQL = {
     "unpivoted_labels": _X + "SELECT id, field, gold, predicted FROM x",
     "calibration_fit": _X + """, k AS (SELECT * FROM x WHERE predicted IS NOT NULL AND gold IS NOT NULL), d AS (SELECT field, round_even(avg((predicted = gold)::INT), 4) AS default_reliability FROM k GROUP BY 1)
@@ -234,7 +265,7 @@ SQL = {
     "loo_tau": _CAT + """, t AS (SELECT a.loo, avg(b.ok) AS acc FROM (SELECT DISTINCT loo FROM l) a JOIN l b ON b.loo >= a.loo GROUP BY 1)
         SELECT round(coalesce(min(loo), 1.01), 6) AS tau, min(loo) IS NOT NULL AS gate_met FROM t WHERE acc >= 0.92""",
     "accepted_curve": _CAT + """, m AS (SELECT round(loo, 6) AS tau, ok FROM l) SELECT a.tau, count(*) AS accepted, sum(b.ok)::BIGINT AS "right" FROM (SELECT DISTINCT tau FROM m) a JOIN m b ON b.tau >= a.tau GROUP BY 1""",
-    "threshold_sweep": _X + _LOO.format(p="predicted", w="") + """, c AS (SELECT id, round(min(loo), 6) AS conf, max(1 - ok) = 1 AS wrong FROM l GROUP BY 1)
+    "threshold_sweep": _X + _LOO.format(p="field, predicted", w="") + """, c AS (SELECT id, round(min(loo), 6) AS conf, max(1 - ok) = 1 AS wrong FROM l GROUP BY 1)
         SELECT tau::DOUBLE AS tau, count(*) AS cases, count(*) FILTER (conf < tau) AS flagged, count(*) FILTER (conf < tau AND wrong) AS wrong_flagged, count(*) FILTER (conf < tau AND NOT wrong) AS right_flagged, count(*) FILTER (wrong) AS wrong_cases
         FROM c CROSS JOIN (SELECT unnest([0.9, 0.8, 0.7, 0.6]) AS tau) GROUP BY 1""",
     "error_bounds": _X + """, e AS (SELECT field, count(*) AS n, count(*) FILTER (gold <> predicted) AS errors FROM x WHERE gold IS NOT NULL AND predicted IS NOT NULL GROUP BY 1)
@@ -258,17 +289,21 @@ SQL = {
     "verdicts": _X + " SELECT field, CASE WHEN count(gold) = 0 THEN 'UNMEASURED' WHEN count(*) FILTER (gold = predicted) / count(gold) >= 0.85 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM x GROUP BY 1",
     "planted_probes": _X + " SELECT field, gold IS NULL AS gold_null, predicted IS NULL AS predicted_null, count(*) AS n FROM x GROUP BY 1, 2, 3",
     "stratified_first_k": "SELECT id, product FROM cfpb_labels QUALIFY row_number() OVER (PARTITION BY product ORDER BY id) <= 5",
-    "key_fact_recall": """
-        WITH i AS (SELECT id, list_filter(list_transform(string_split(gold_key_facts, ';'), lambda x: trim(x)), lambda x: x <> '') AS items FROM cfpb_labels WHERE gold_key_facts IS NOT NULL),
-        p AS (SELECT id, items[k] AS item, items[k + 1] AS nxt FROM (SELECT id, items, unnest(range(1, len(items))) AS k FROM i)),
-        w AS (SELECT id, list_distinct(regexp_extract_all(lower(item), '[a-z0-9]+')) AS want, list_distinct(regexp_extract_all(lower(nxt), '[a-z0-9]+')) AS have FROM p)
-        SELECT id, count(*) AS facts, count(*) FILTER (len(list_intersect(want, have)) >= 0.5 * len(want)) AS recalled FROM w GROUP BY 1""",
+    "gold_predictions": _X + """, empty AS (SELECT id FROM x GROUP BY 1 HAVING count(nullif(predicted, '')) = 0) SELECT field, count(*) FILTER (gold IS NOT NULL AND id % 19 <> 0 AND id % 23 <> 0 AND id NOT IN (SELECT id FROM empty)) AS judged,
+        count(*) FILTER (gold IS NOT NULL AND id % 19 <> 0 AND id % 23 <> 0 AND id NOT IN (SELECT id FROM empty) AND gold = coalesce(predicted, '')) AS "right",
+        count(*) FILTER (id % 19 <> 0 AND (id % 23 = 0 OR id IN (SELECT id FROM empty))) AS failed, count(*) FILTER (id % 19 = 0) AS missing FROM x GROUP BY 1""",
+    "key_fact_recall": _X + """, i AS (SELECT id, list_filter(list_transform(string_split(gold_key_facts, ';'), lambda x: trim(x)), lambda x: x <> '') AS items FROM cfpb_labels WHERE gold_key_facts IS NOT NULL AND id % 19 <> 0 AND id % 23 <> 0),
+        p AS (SELECT id, items, [items[k] for k in range(1, len(items) + 1) if (id + k - 1) % 3 <> 0] AS facts FROM i WHERE id NOT IN (SELECT id FROM x GROUP BY 1 HAVING count(nullif(predicted, '')) = 0)),
+        h AS (SELECT id, unnest(items) AS item, list_transform(facts, lambda f: list_distinct(regexp_extract_all(lower(f), '[a-z0-9]+'))) AS have FROM p),
+        w AS (SELECT id, have, list_distinct(regexp_extract_all(lower(item), '[a-z0-9]+')) AS want FROM h)
+        SELECT id, count(*) AS facts, count(*) FILTER (len(list_filter(have, lambda f: len(list_intersect(want, f)) >= 0.5 * len(want))) > 0) AS recalled FROM w GROUP BY 1""",
     "latency_quantiles": """
         WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
         SELECT event_type, any_value(n) AS n, max(value) FILTER (i = n // 2) AS p50, max(value) FILTER (i = floor(n * 0.95)) AS p95, round((max(value) FILTER (i = (n - 1) // 2) + max(value) FILTER (i = n // 2)) / 2, 6) AS median FROM r GROUP BY 1""",
     "mode_agreement": """
         WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, arg_max(event_type, (n, event_type)) AS mode, round(max(n) / sum(n), 6) AS agreement FROM c GROUP BY 1""",
-    "questions_median": _X + """, c AS (SELECT id, count(*) FILTER (gold IS NULL) AS open FROM x GROUP BY 1) SELECT open, count(*) AS cases FROM c GROUP BY 1""",
+    "questions_histogram": _X + """, c AS (SELECT id, count(*) FILTER (gold IS NULL) AS open FROM x GROUP BY 1) SELECT open, count(*) AS cases FROM c GROUP BY 1""",
+    "questions_median": _X + """, c AS (SELECT id, count(*) FILTER (gold IS NULL) AS open FROM x GROUP BY 1) SELECT count(*) AS cases, max(open) AS most, median(open) AS median FROM c""",
     "rules_sla": """
         WITH r AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus IN ('O', 'P') THEN 1 WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 WHEN o_orderstatus = 'F' THEN 3 ELSE 4 END AS k FROM orders)
         SELECT o_orderkey, 'P' || k AS level, o_orderdate + to_seconds([14400, 86400, 131400, 259200][k]) AS due FROM r""",

@@ -125,8 +125,19 @@ def match_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("tenant_id").agg(F.count("*").alias("cases"), F.count_if(F.col("outcome") == "silent").alias("silent"), F.count_if(F.col("outcome") == "confirm").alias("confirm"), F.round(F.avg((F.col("outcome") == "silent").cast("double")), 6).alias("silent_rate"))
 
 
+def name_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Records found again by their customer's name alone, for the query set of ids divisible by 100, judged by the record itself: silent and wrong binds, recall of those that ought to bind, and behaviour, by tenant."""
+    o = table(spark, folder, "spike_bakery_objects").select("object_id", "tenant_id", "customer_name")
+    probes = o.where("object_id % 100 = 0")
+    same = o.groupBy("tenant_id", F.lower(F.trim("customer_name")).alias("typed")).agg(F.count("*").alias("of_name"))
+    truth = probes.withColumn("typed", F.lower(F.trim("customer_name"))).join(same, ["tenant_id", "typed"], "left")
+    true_mode = F.when((F.col("typed") != "") & (F.col("of_name") == 1), "silent").otherwise("confirm")
+    judged = truth.select("object_id", "tenant_id", true_mode.alias("true_mode"), F.when(true_mode == "silent", F.col("object_id")).alias("true_object")).join(resolve.resolve_by_name(probes, o, "object_id", "tenant_id", "customer_name"), "object_id")
+    return resolve.match_quality(judged, ["tenant_id"], "mode", "bound", "true_mode", "true_object")
+
+
 QUERIES = {f.__name__: f for f in (
-    similarity_edges, components, mint_candidates, knn_top2_margin, knn_neighbours, label_cosine, dedup_gate, canonical_names, centroid_clusters, key_profile, external_ids, key_hashes, object_texts, anchor_resolution, match_metrics,
+    similarity_edges, components, mint_candidates, knn_top2_margin, knn_neighbours, label_cosine, dedup_gate, canonical_names, centroid_clusters, key_profile, external_ids, key_hashes, object_texts, anchor_resolution, match_metrics, name_resolution,
 )}
 
 _COS = "(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))))"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as t
-from caseloom.operators.ordered import first_by, numbered, prefix_sum, top_k
+from caseloom.operators.ordered import numbered, top_k
+from caseloom.operators.provenance import located_values
 from caseloom.queries.schema_growth import kind_sql, sensitive_sql
 from caseloom.sources.tables import table
 
@@ -18,13 +19,7 @@ def value_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Kind of every document's first line, by language."""
-    d = table(spark, folder, "documents").where("lang IN ('en', 'de')").withColumn("kind", t.value_kind(F.substring_index("text", "\n", 1)))
-    return d.groupBy("lang", "kind").agg(F.count("*").alias("n"))
-
-
-def document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Kind of every line of every document, by language; ``document_profile`` for whole texts and all languages."""
+    """Kind of every line of every document, by language."""
     d = table(spark, folder, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("kind", t.value_kind(F.col("line")))
     return d.groupBy("lang", "kind").agg(F.count("*").alias("n"))
 
@@ -53,26 +48,15 @@ def kept_qualifiers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fault_grounding(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each complaint's first sentence is told in the rest of it."""
-    d = table(spark, folder, "documents").where("source = 'complaint_narrative' AND lang = 'en'")
-    return d.select("doc_id", t.fault_grounded(F.substring_index("text", ".", 1), F.col("text")).alias("grounded"), F.size(t.content_words(F.substring_index("text", ".", 1))).alias("words"))
-
-
-def fault_grounding_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each complaint's first sentence is told in the rest of it, in every language; ``fault_grounding`` for all of them."""
-    d = table(spark, folder, "documents").where("source = 'complaint_narrative'")
+    """Whether each document's first sentence is told in the rest of it, in every language and source."""
     fault = F.substring_index("text", ".", 1)
-    return d.select("doc_id", "lang", t.fault_grounded(fault, F.col("text")).alias("grounded"), F.size(t.content_words(fault)).alias("words"))
+    return table(spark, folder, "documents").select("doc_id", "lang", t.fault_grounded(fault, F.col("text")).alias("grounded"), F.size(t.content_words(fault)).alias("words"))
 
 
 def locate_spans(spark: SparkSession, folder: str) -> DataFrame:
-    """Place of a word in each case's documents, as offsets in the case's joined text; the bases are prefix sums, no text is joined."""
-    d = table(spark, folder, "documents").where("case_id IS NOT NULL").select("case_id", "doc_id", "text")
-    d = prefix_sum(d.withColumn("len", F.length("text") + 1), ["case_id"], "doc_id", [], F.col("len"), "upto")
-    at = t.locate(F.lit("refund"), F.col("text"))
-    hits = d.select("case_id", "doc_id", (F.col("upto") - F.col("len") + at).alias("char_start")).where("char_start IS NOT NULL")
-    first = first_by(hits, ["case_id"], ["doc_id"], ["doc_id", "char_start"])
-    return first.withColumn("char_end", F.col("char_start") + 6)
+    """Place of every attested value in its case's documents: the first document that has it, and offsets in the case's joined text."""
+    d = table(spark, folder, "documents").where("case_id IS NOT NULL")
+    return located_values(table(spark, folder, "emergent_attribute"), d, "case_id", "value", "doc_id", "text")
 
 
 def case_text_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,7 +166,7 @@ def distinct_in_case(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    value_profile, document_profile, document_lines, normal_names, grounded_values, kept_qualifiers, fault_grounding, fault_grounding_all, locate_spans, case_text_parts, text_spans, sensitive_fields, card_scan, masked_texts, redacted_values,
+    value_profile, document_profile, normal_names, grounded_values, kept_qualifiers, fault_grounding, locate_spans, case_text_parts, text_spans, sensitive_fields, card_scan, masked_texts, redacted_values,
     near_duplicates, boilerplate_strip, length_band, greedy_caps, held_out, attachment_routing, chat_lines, day_first_vote, distinct_in_case,
 )}
 
@@ -190,7 +174,7 @@ _S = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _FW = "[" + ", ".join(repr(w) for w in t.FUNCTION_WORDS) + "]"
 _STOP = "[" + ", ".join(repr(w) for w in t.STOPWORDS) + "]"
-_PRINT = "substr(trim(lower(regexp_replace(regexp_replace({}, 'XX+|[0-9]+', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))), 1, 200)"
+_PRINT = "trim((lower(regexp_replace(regexp_replace({}, 'XX+|[0-9]+', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))))"
 
 
 def _grounded_sql(v: str, s: str) -> str:
@@ -210,8 +194,7 @@ SQL = {
     "value_profile": f"""
         SELECT {kind_sql('value')} AS kind, count(*) AS n, round(avg(CASE WHEN len({_TOK.format('value')}) = 0 THEN 0.0 ELSE len(list_filter({_TOK.format('value')}, lambda x: list_contains({_FW}, x))) / len({_TOK.format('value')}) END), 6) AS mean_ratio
         FROM emergent_attribute GROUP BY 1""",
-    "document_profile": f"WITH d AS (SELECT lang, string_split(text, chr(10))[1] AS line FROM documents WHERE lang IN ('en', 'de')) SELECT lang, {kind_sql('line')} AS kind, count(*) AS n FROM d GROUP BY 1, 2",
-    "document_lines": f"WITH d AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT lang, {kind_sql('line')} AS kind, count(*) AS n FROM d GROUP BY 1, 2",
+    "document_profile": f"WITH d AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT lang, {kind_sql('line')} AS kind, count(*) AS n FROM d GROUP BY 1, 2",
     "normal_names": f"""
         WITH p AS (SELECT p_partkey, {_S.format('p_type')} AS head, {_S.format('p_brand')} AS brand FROM part),
         n AS (SELECT p_partkey, head, brand, CASE WHEN brand <> '' AND brand <> head THEN brand || '_' || head ELSE head END AS name FROM p)
@@ -227,15 +210,13 @@ SQL = {
         WITH a AS (SELECT {_S.format('qualifier')} AS q, concat_ws(' ', head, value, qualifier) AS source FROM emergent_attribute)
         SELECT CASE WHEN q <> '' AND len(string_split(q, '_')) <= 4 AND contains(array_to_string({_TOK.format('source')}, ' '), replace(q, '_', ' ')) THEN q END AS qualifier, count(*) AS n FROM a GROUP BY 1""",
     "fault_grounding": f"""
-        WITH d AS (SELECT doc_id, text, {_FIRST} AS fault FROM documents WHERE source = 'complaint_narrative' AND lang = 'en')
-        SELECT doc_id, coalesce(NOT ({_STATE.format('fault')}) AND len({_words_sql('fault')}) > 0 AND len(list_intersect({_words_sql('fault')}, {_words_sql('text')})) / len({_words_sql('fault')}) >= 0.4, false) AS grounded, len({_words_sql('fault')}) AS words FROM d""",
-    "fault_grounding_all": f"""
-        WITH d AS (SELECT doc_id, lang, text, {_FIRST} AS fault FROM documents WHERE source = 'complaint_narrative')
+        WITH d AS (SELECT doc_id, lang, text, {_FIRST} AS fault FROM documents)
         SELECT doc_id, lang, coalesce(NOT ({_STATE.format('fault')}) AND len({_words_sql('fault')}) > 0 AND len(list_intersect({_words_sql('fault')}, {_words_sql('text')})) / len({_words_sql('fault')}) >= 0.4, false) AS grounded, len({_words_sql('fault')}) AS words FROM d""",
     "locate_spans": """
-        WITH d AS (SELECT case_id, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY case_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM documents WHERE case_id IS NOT NULL),
-        h AS (SELECT case_id, doc_id, base + instr(lower(text), 'refund') - 1 AS char_start FROM d WHERE instr(lower(text), 'refund') > 0)
-        SELECT case_id, doc_id, char_start, char_start + 6 AS char_end FROM h QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY doc_id) = 1""",
+        WITH d AS (SELECT case_id, doc_id, lower(text) AS low, coalesce(sum(length(text) + 1) OVER (PARTITION BY case_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM documents WHERE case_id IS NOT NULL),
+        v AS (SELECT DISTINCT case_id, trim(value) AS value FROM emergent_attribute WHERE trim(value) <> ''),
+        h AS (SELECT v.case_id, v.value, d.doc_id, base + instr(low, lower(v.value)) - 1 AS char_start FROM v JOIN d ON v.case_id = d.case_id WHERE instr(low, lower(v.value)) > 0)
+        SELECT case_id, value, doc_id, char_start, char_start + length(value) AS char_end FROM h QUALIFY row_number() OVER (PARTITION BY case_id, value ORDER BY doc_id) = 1""",
     "case_text_parts": """
         WITH n AS (SELECT case_id, text, row_number() OVER (PARTITION BY case_id ORDER BY doc_id) AS n FROM documents WHERE case_id IS NOT NULL AND text <> ''),
         p AS (SELECT case_id, (n - 1) // 50 AS part_no, count(*) AS documents, string_agg(text, chr(10) ORDER BY n) AS text FROM n GROUP BY 1, 2)

@@ -31,15 +31,14 @@ def parse_lines(exports: DataFrame, key: str, text: str) -> DataFrame:
     """
     lines = F.transform(F.split(F.col(text), "\n"), without_marks)
     numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), F.regexp_extract(x, HEADER, 1).alias("stamp"), x.alias("line"), F.regexp_replace(x, HEADER, "").alias("rest")))
-    empty = F.array().cast("array<struct<no:int,stamp:string,head:string,more:array<string>>>")
+    split = exports.select(F.col(key), numbered.alias("_lines")).select(key, "_lines", F.filter("_lines", lambda x: x["stamp"] != "").alias("_heads"))
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.struct(x["no"].alias("no"), x["stamp"].alias("stamp"), x["rest"].alias("head"), F.array().cast("array<string>").alias("more"))
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["no"].alias("no"), last["stamp"].alias("stamp"), last["head"].alias("head"), F.concat(last["more"], F.array(x["line"])).alias("more"))
-        return F.when(x["stamp"] != "", F.concat(acc, F.array(new))).when(F.size(acc) == 0, acc).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
+    def message(x: Column, k: Column) -> Column:  # a header's body goes up to the next header
+        after = F.coalesce(F.get("_heads", k + 1)["no"], F.size("_lines") + 1)
+        more = F.transform(F.slice("_lines", x["no"] + 1, after - x["no"] - 1), lambda y: y["line"])
+        return F.struct(x["no"].alias("no"), x["stamp"].alias("stamp"), x["rest"].alias("head"), more.alias("more"))
 
-    messages = exports.select(F.col(key), F.explode(F.aggregate(numbered, empty, step)).alias("m"))
+    messages = split.select(F.col(key), F.explode(F.transform("_heads", message)).alias("m"))
     at = F.instr(F.col("m.head"), ": ")
     body = F.btrim(F.array_join(F.concat(F.array(F.col("m.head").substr(at + 2, F.length("m.head"))), F.col("m.more")), "\n"), F.lit(" \n"))
     out = messages.select(key, F.col("m.no").alias("line_no"), F.col("m.stamp").alias("stamp"), F.substring_index("m.head", ": ", 1).alias("sender"), body.alias("body"), at.alias("_at"))

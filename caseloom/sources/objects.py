@@ -45,9 +45,19 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return _tidy(lines.where(checked).select("path", F.from_json("t", _MAP).alias("attributes")))
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of the lines that are no JSON object, numbered from 1, for the message after a failure; a file is one row here."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("i", "t"))
+    t = F.regexp_replace("t", "^\ufeff", "")
+    return whole.where((F.trim(t) != "") & (F.try_parse_json(t).isNull() | ~F.ltrim(t).startswith("{"))).select("path", (F.col("i") + 1).alias("line_no"), t.alias("line"))
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a file or folder by its ending, else by its first character."""
+    """Records of a file or folder by its ending, else by its first character; another ending than those of records is refused."""
     low = path.lower()
+    ending = low.rstrip("/").rpartition("/")[2].rpartition(".")
+    if ending[1] and ending[0] and ending[2] not in ("csv", "json", "jsonl", "ndjson", "txt", "parquet"):
+        raise ValueError(f"no records are read from files like {path}")
     if low.endswith(".csv"):
         return read_csv(spark, path)
     if low.endswith((".jsonl", ".ndjson")):

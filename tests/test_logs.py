@@ -57,8 +57,16 @@ def test_write_once_and_rebuild(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(store).select("sha", "id").collect())) == [("a", 1), ("b", 3)]
     parts = str(tmp_path / "parts")
     sinks.rebuild(spark.createDataFrame([(1, "x"), (2, "y")], "tenant_id long, v string"), parts)
-    sinks.rebuild(spark.createDataFrame([(2, "z")], "tenant_id long, v string"), parts)
-    assert sorted(map(tuple, spark.read.parquet(parts).select("tenant_id", "v").collect())) == [(1, "x"), (2, "z")]
+    later = spark.createDataFrame([(2, "z")], "tenant_id long, v string")
+    for scope, left in (([2], [(1, "x"), (2, "z")]), ([1, 2], [(2, "z")])):  # a tenant without rows loses its old ones
+        sinks.rebuild(later, parts, scope=scope)
+        assert sorted(map(tuple, spark.read.parquet(parts).select("tenant_id", "v").collect())) == left
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        sinks.append_only(later, log)
+    assert spark.read.parquet(log).count() == 2
+    with pytest.raises(ValueError, match="columns"):
+        sinks.append_only(df, log)
     sinks.write_register(df, str(tmp_path / "reg"), ["id", "sha"], ["id"])
     assert spark.read.csv(str(tmp_path / "reg"), header=True).count() == 3
     sinks.write_jsonl(df, str(tmp_path / "out"))

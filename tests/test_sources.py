@@ -7,46 +7,55 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.sources import chat, objects
+from caseloom.operators import calibration
+from caseloom.sources import chat, labels, objects
 
-CHAT = """ignored
-13/08/2026, 14:05 - Messages are end-to-end encrypted
-13/08/2026, 14:06 - Aisha: hello: there
-more of it
+CHAT = """Exported on request
+3/9/2031, 7:41 - Boiler group was created
+3/9/2031, 7:42 - Ottoline: valve: stuck again
+since last night
+and still dripping
 
-[25/12/2026, 2:05:33 PM] +971 50: IMG-1.jpg (file attached)
-caption
-[25/12/2026, 2:06:33 PM] +971 50: <Media omitted>
-01/02/2026, 10:00 - Aisha: <attached: voice.opus>"""
+[28/11/2031, 11:09:02 PM] +44 20: plan-7.png (file attached)
+cellar, north wall
+[28/11/2031, 11:10:40 PM] +44 20: <Media omitted>
+30/11/2031, 00:15 - Ottoline: <attached: drip.opus>
+30/11/2031, 00:16 - no colon here"""
 
 
 def test_chat_lines(spark):
     df = spark.createDataFrame([(1, CHAT), (2, None), (3, ""), (4, "no header")], "id long, text string")
     got = chat.parse_lines(df, "id", "text").orderBy("line_no").collect()
-    assert [(r.line_no, r.sender, r.body) for r in got] == [(3, "Aisha", "hello: there\nmore of it"), (6, "+971 50", "IMG-1.jpg (file attached)\ncaption"), (8, "+971 50", "<Media omitted>"), (9, "Aisha", "<attached: voice.opus>")]
+    assert [(r.line_no, r.sender, r.body) for r in got] == [(3, "Ottoline", "valve: stuck again\nsince last night\nand still dripping"), (7, "+44 20", "plan-7.png (file attached)\ncellar, north wall"), (9, "+44 20", "<Media omitted>"), (10, "Ottoline", "<attached: drip.opus>")]
     stamped = {r.line_no: str(r.sent_at) for r in chat.parsed_stamps(chat.parse_lines(df, "id", "text"), "id").collect()}
-    assert stamped == {3: "2026-08-13 14:06:00", 6: "2026-12-25 14:05:33", 8: "2026-12-25 14:06:33", 9: "2026-02-01 10:00:00"}
-    files = spark.createDataFrame([("voice.opus",)], "filename string")
+    assert stamped == {3: "2031-09-03 07:42:00", 7: "2031-11-28 23:09:02", 9: "2031-11-28 23:10:40", 10: "2031-11-30 00:15:00"}
+    files = spark.createDataFrame([("drip.opus",)], "filename string")
     att = {r.line_no: (r.attachment, r.body) for r in chat.with_attachment(chat.parse_lines(df, "id", "text"), files).collect()}
-    assert att[3][0] is None and tuple(att[6][0]) == ("IMG-1.jpg", "image/jpeg", True) and att[6][1] == "caption"
-    assert tuple(att[8][0]) == ("<omitted>", "application/octet-stream", True) and tuple(att[9][0]) == ("voice.opus", "audio/ogg", False)
+    assert att[3][0] is None and tuple(att[7][0]) == ("plan-7.png", "image/png", True) and att[7][1] == "cellar, north wall"
+    assert tuple(att[9][0]) == ("<omitted>", "application/octet-stream", True) and tuple(att[10][0]) == ("drip.opus", "audio/ogg", False)
+
+
+def test_a_long_chat_takes_time_in_proportion(spark):
+    lines = [f"4/5/2030, 9:{i % 60:02} - K{i % 7}: m{i}" if i % 50 == 0 else f"more {i}" for i in range(20_000)]
+    got = chat.parse_lines(spark.createDataFrame([(1, "\n".join(lines))], "id long, text string"), "id", "text")
+    assert got.agg(F.count("*"), F.sum(F.size(F.split("body", "\n")))).first() == (400, 20_000)
 
 
 def test_month_first_file(spark):
-    df = spark.createDataFrame([(1, "8/13/26, 2:05 PM - A: x\n1/2/26, 3:00 AM - A: y")], "id long, text string")
-    assert [str(r.sent_at) for r in chat.parsed_stamps(chat.parse_lines(df, "id", "text"), "id").orderBy("line_no").collect()] == ["2026-08-13 14:05:00", "2026-01-02 03:00:00"]
+    df = spark.createDataFrame([(1, "11/22/30, 6:31 AM - Q: left\n4/5/30, 9:00 PM - Q: back")], "id long, text string")
+    assert [str(r.sent_at) for r in chat.parsed_stamps(chat.parse_lines(df, "id", "text"), "id").orderBy("line_no").collect()] == ["2030-11-22 06:31:00", "2030-04-05 21:00:00"]
 
 
 def test_zip(spark, tmp_path):
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("x/_chat.txt", CHAT)
-        z.writestr("other/IMG-1.jpg", "12345")
-        z.writestr("x/IMG-1.jpg", "1")
+        z.writestr("other/plan-7.png", "12345")
+        z.writestr("x/plan-7.png", "1")
     (tmp_path / "a.zip").write_bytes(b.getvalue())
     (tmp_path / "b.zip").write_bytes(b"no zip")
     got = sorted(chat.unzip(spark, str(tmp_path)).collect(), key=lambda r: r.path)
-    assert got[0].transcript == CHAT and [tuple(f) for f in got[0].files] == [("IMG-1.jpg", 1)] and got[1].transcript is None
+    assert got[0].transcript == CHAT and [tuple(f) for f in got[0].files] == [("plan-7.png", 1)] and got[1].transcript is None
 
 
 def records(df):
@@ -67,6 +76,30 @@ def test_objects(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"id": "7"}\n{broken')
     with pytest.raises(Exception, match="no JSON object"):
         objects.read_objects(spark, str(tmp_path / "bad.jsonl")).collect()
+    assert [(r.line_no, r.line) for r in objects.bad_lines(spark, str(tmp_path / "bad.jsonl")).collect()] == [(2, "{broken")]
+    with pytest.raises(ValueError, match="no records"):
+        objects.read_objects(spark, str(tmp_path / "sheet.xlsx"))
+
+
+def test_gold_and_predictions(spark, tmp_path):
+    (tmp_path / "gold.csv").write_text("id,gold_a,gold_b\n1, x ,\n2,y,z\n3,y,q\n")
+    (tmp_path / "pred.jsonl").write_text('{"id": "1", "governed": {"a": "x"}, "facts": ["f"]}\n{"id": "2", "governed": {}}\n')
+    x = labels.judged(labels.read_gold(spark, str(tmp_path / "gold.csv"), {"a": "gold_a", "b": "gold_b"}), labels.read_predictions(spark, str(tmp_path / "pred.jsonl")))
+    got = sorted(((r.id, r.field), r.gold, r.predicted, r.status) for r in x.collect())
+    assert got == [(("1", "a"), "x", "x", "read"), (("1", "b"), None, None, "read"), (("2", "a"), "y", None, "failed"), (("2", "b"), "z", None, "failed"), (("3", "a"), "y", None, "missing"), (("3", "b"), "q", None, "missing")]
+
+
+def test_a_lost_calibration_is_never_certain(spark, tmp_path):
+    good = {"tau": 0.9, "fields": {"a": {"default": 0.5, "reliability": {"x": 0.75}}}}
+    (tmp_path / "c.json").write_text(json.dumps(good, indent=1))
+    cells, defaults, tau = calibration.load_artifact(spark, str(tmp_path / "c.json"))
+    assert tau == 0.9 and [tuple(r) for r in cells.collect()] == [("a", "x", 0.75)] and [tuple(r) for r in defaults.collect()] == [("a", 0.5)]
+    (tmp_path / "broken.json").write_text("{")
+    for name in ("absent.json", "broken.json"):
+        cells, defaults, tau = calibration.load_artifact(spark, str(tmp_path / name))
+        assert tau > 1 and cells.count() == 0 and defaults.count() == 0
+    one = spark.range(1).select(*[calibration.confidence(F.lit("x"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1.0), fitted).alias(n) for n, fitted in (("lost", False), ("other", True))]).first()
+    assert (one.lost, one.other) == (0.4, 1.0)
 
 
 def test_webhook_files_and_generator(spark, tmp_path):

@@ -50,3 +50,45 @@ def test_windowing_with_terminal_states(spark, tmp_path):
     rows = [("a", T, 1, "x", "open"), ("a", T + day, 2, "x", "open"), ("a", T + 2 * day + dt.timedelta(seconds=1), 3, "x", "closed"), ("a", T + 3 * day, 4, "x", "closed"), ("a", T + 9 * day, 5, "x", "open")]
     got = run(m.windowed(written(spark, tmp_path, rows), ["sender"], "ts", "state", ["closed"]), "s4").orderBy("u").collect()
     assert [r.decision for r in got] == ["new_no_prior", "follow_up", "classify_idle", "classify_terminal", "new_terminal"]
+
+
+def test_retries_end_in_a_terminal_state():
+    waits, calls = [], []
+
+    def flaky(good_at):
+        calls.append(1)
+        if len(calls) < good_at:
+            raise ValueError("no")
+        return len(calls)
+
+    assert m.with_retries(lambda: flaky(3), sleep=waits.append) == ("done", 3) and waits == [30, 60]
+    calls.clear(), waits.clear()
+    state, error = m.with_retries(lambda: flaky(99), sleep=waits.append)
+    assert state == "failed" and str(error) == "no" and len(calls) == 4 and waits == [30, 60, 90]
+
+
+def test_scans_run_in_order_and_pools_are_left(spark, tmp_path):
+    seen = []
+    q = m.scans(written(spark, tmp_path, [("a", T, 1, "x", "open")]), [lambda df, b: seen.append(("dedup", df.count())), lambda df, b: seen.append(("promote", df.count()))], str(tmp_path / "cp"), "1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert seen[:2] == [("dedup", 1), ("promote", 1)]
+    assert m.in_pool(spark, "low", lambda: spark.sparkContext.getLocalProperty("spark.scheduler.pool")) == "low"
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_state_expires(spark, tmp_path):
+    def add(rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    add([("a", T, 1, "x", "open")])
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = m.windowed(stream, ["sender"], "ts", "state", ["closed"], keep_seconds=86_400, late="1 hour").writeStream.format("memory").queryName("s5").outputMode("append").start()
+    for days in (10, 11, 12):  # other senders move the watermark on
+        q.processAllAvailable()
+        add([("b", T + dt.timedelta(days=days), days, "x", "open")])
+    q.processAllAvailable()
+    add([("a", T + dt.timedelta(days=12, hours=1), 99, "x", "open")])
+    q.processAllAvailable()
+    q.stop()
+    assert [r.decision for r in spark.table("s5").where("key = 'a'").orderBy("u").collect()] == ["new_no_prior", "new_no_prior"]

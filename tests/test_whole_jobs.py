@@ -11,10 +11,10 @@ def planted(spark, folder, name, rows, schema):
 def test_every_line_and_language_is_profiled(spark, tmp_path):
     rows = [(1, "en", "complaint_narrative", "late fee\n$5\n\nthe box broke. the box"), (2, "ur", "complaint_narrative", "order 12. again order"), (3, None, "email", "a\nb"), (4, "fr", "email", None)]
     folder = planted(spark, tmp_path, "documents", rows, "doc_id long, lang string, source string, text string")
-    got = {(r.lang, r.kind): r.n for r in registry.QUERIES["document_lines"](spark, folder).collect()}
+    got = {(r.lang, r.kind): r.n for r in registry.QUERIES["document_profile"](spark, folder).collect()}
     assert sum(got.values()) == 4 + 1 + 2
     assert got[("en", "money")] == 1 and got[("en", "empty")] == 1 and ("ur", "identifier") in got and (None, "phrase") in got
-    assert {r.doc_id: r.lang for r in registry.QUERIES["fault_grounding_all"](spark, folder).collect()} == {1: "en", 2: "ur"}
+    assert {r.doc_id: r.lang for r in registry.QUERIES["fault_grounding"](spark, folder).collect()} == {1: "en", 2: "ur", 3: None, 4: "fr"}
 
 
 def test_backfill_calls_keep_to_cases_in_scope(spark, tmp_path):
