@@ -13,13 +13,14 @@ from caseloom.llm.pii_tagger import Tagger
 from caseloom.plans.sizing import spread
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
+_ADDRESS_OF_MAIL = re.compile(r"(?i)[\w+\-]\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[\w\-]+\s?(?:\.|\[dot\]|\(dot\)|\bdot\b)\s?\w")
 _WORDY = re.compile(r"[^\W_]")
 _EDGE = " \t\n.,;:!?\"“”«»<>*،؟۔।/="
-_TITLE = re.compile(r"(?i)^(?:mr|mrs|ms|miss|dr|sh|prof|eng|herr|frau|sra?|mme)\.? +(?=\S)")
+_TITLE = re.compile(r"(?i)^(?:mr|mrs|ms|miss|dr|sh|prof|eng|herr|frau|sra?|mme)\.? +(?=\S|$)")
 
 
 def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tagged spans after exact checks: joined over gaps inside a word, widened to whole words, trimmed of edges and titles; numbers need digits, addresses digits or two words, e-mail addresses a sign for "at"."""
+    """Tagged spans after exact checks: joined over gaps inside a word, widened to whole words, trimmed of edges and titles, which alone are no name; numbers need digits, addresses digits or two words, e-mail addresses a name, a sign for "at" and a host with a dot."""
     joined: list[tuple[int, int, str]] = []
     for a, b, k in spans:
         if joined and joined[-1][2] == k and a - joined[-1][1] <= 1 and not text[joined[-1][1] : a].isspace():
@@ -48,11 +49,11 @@ def checked(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int
         elif k == "id_number":
             ok = digits >= 6
         elif k == "email":
-            ok = bool(re.search(r"@|\(at\)|\[at\]|\bat\b", part, re.I))
+            ok = bool(_ADDRESS_OF_MAIL.search(part))
         elif k == "name":
             if m := _TITLE.match(part):
                 a += m.end()
-            ok = digits == 0 and bool(_WORDY.search(text[a:b]))
+            ok = digits == 0 and bool(_WORDY.search(text[a:b])) and not _TITLE.fullmatch(text[a:b] + " ")
         else:
             ok = len(part) >= 4 and (digits > 0 or len(part.split()) > 1)
         if ok:

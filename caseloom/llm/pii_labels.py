@@ -72,7 +72,7 @@ def numbers(text: str) -> tuple[list[tuple[int, int, str]], bool]:
             out.append((m.start(), end, "id_number"))
         elif last != "" and (_PHONE_SHAPES.fullmatch(s) or last == "phone" and len(digits) >= 9):
             out.append((m.start(), end, "phone"))
-        elif last is None and len(digits) >= 9:
+        elif last is None and len(digits) >= 9 and not re.fullmatch(r"[1-9]\d{11,}", s):  # as long a number without a prefix is no phone's
             doubt = True
     return out, doubt
 
@@ -129,7 +129,7 @@ class Lexicon:
         """Whether a word is a short form or another spelling of a given name that the columns have."""
         if not self.kin:
             known = [g for g, n in self.given.items() if n > 1 and g.isascii() and len(g) > 3]
-            self.kin |= set(names.NICKNAMES) | {names.sound(g) for g in known} | {p for g in known for p in names.shortened(g)}
+            self.kin |= set(names.NICKNAMES) | {x for g in known if len(x := names.sound(g)) > 3 and x.isalpha()} | {p for g in known for p in names.shortened(g)}
         return w in names.NICKNAMES or len(w) > 2 and w.isascii() and (names.sound(w) in self.kin or bool(names.stems(w) & self.kin))
 
     def is_product(self, given: str, nxt: str) -> bool:
@@ -221,6 +221,7 @@ def label_facts(text: str, lex: Lexicon) -> tuple[list[tuple[int, int, str]], bo
             out.append((m.start() + lead, m.start() + len(item.rstrip()), kind))
         else:
             spans, unsure = label_sentence(item, lex)
+            spans = [x for x in spans if not eq or x[2] != "name"]
             if eq and not any(k in ("phone", "id_number") for _, _, k in spans) and re.search(r"(?i)callback|phone|sms|mobile", key) and value.strip():
                 spans.append((lead, len(item.rstrip()), "phone"))
             out += [(m.start() + a, m.start() + b, k) for a, b, k in spans]
