@@ -66,7 +66,7 @@ def dedup_gate(spark: SparkSession, folder: str) -> DataFrame:
 def canonical_names(spark: SparkSession, folder: str) -> DataFrame:
     """Sequential canonicalisation of the vectors within their labels."""
     e = _vectors(spark, folder).withColumn("name", F.format_string("%08d", "vec_id"))
-    return registry.canonicalise(e, "label", "name", "embedding", "vec_id", merge=0.40)
+    return registry.canonicalise(e, "label", "name", "embedding", "vec_id", merge=0.40).withColumn("similarity", F.round("similarity", 6))
 
 
 def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,6 +177,19 @@ SQL = {
     "dedup_gate": f"""
         WITH p AS (SELECT a.vec_id AS id, max({_COS}) AS s FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1)
         SELECT CASE WHEN s IS NULL THEN 'seed' WHEN s >= 0.40 THEN 'merge' WHEN s < 0.30 THEN 'admit_new' ELSE 'adjudicate' END AS method, count(*) AS n FROM p GROUP BY 1""",
+    "canonical_names": """
+        WITH RECURSIVE r AS MATERIALIZED (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, printf('%08d', vec_id) AS name, embedding::DOUBLE[] AS e FROM embeddings),
+        s AS (SELECT label, k, name, [{'n': name, 'e': e}] AS kept, name AS canonical, 0.0::DOUBLE AS similarity, 'seed' AS method FROM r WHERE k = 1
+            UNION ALL SELECT label, k, name, CASE WHEN sim >= 0.40 THEN kept ELSE list_append(kept, {'n': name, 'e': e}) END, CASE WHEN sim >= 0.40 THEN kept[list_position(sims, sim)].n ELSE name END, sim, CASE WHEN sim >= 0.40 THEN 'merge' ELSE 'admit_new' END
+            FROM (SELECT *, list_max(sims) AS sim FROM (SELECT r.label, r.k, r.name, r.e, s.kept, list_transform(s.kept, lambda x: list_cosine_similarity(x.e, r.e)) AS sims FROM s JOIN r ON r.label = s.label AND r.k = s.k + 1)))
+        SELECT label::VARCHAR AS head, name, canonical, round(similarity, 6) AS similarity, method FROM s""",
+    "centroid_clusters": """
+        WITH RECURSIVE u AS MATERIALIZED (SELECT label, vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings),
+        r AS MATERIALIZED (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, vec_id, e FROM u),
+        s AS (SELECT label, k, vec_id, [e] AS sums, 0::BIGINT AS cluster FROM r WHERE k = 1
+            UNION ALL SELECT label, k, vec_id, CASE WHEN sim >= 0.40 THEN list_transform(sums, lambda x, i: CASE WHEN i = pos THEN list_transform(list_zip(x, e), lambda z: z[1] + z[2]) ELSE x END) ELSE list_append(sums, e) END, CASE WHEN sim >= 0.40 THEN pos - 1 ELSE len(sums) END
+            FROM (SELECT *, list_max(sims) AS sim, list_position(sims, list_max(sims)) AS pos FROM (SELECT r.label, r.k, r.vec_id, r.e, s.sums, list_transform(s.sums, lambda x: list_cosine_similarity(x, r.e)) AS sims FROM s JOIN r ON r.label = s.label AND r.k = s.k + 1)))
+        SELECT label::VARCHAR AS g, vec_id AS id, cluster::INT AS cluster FROM s""",
     "key_profile": _PROFILE + "SELECT field, filled, distinct_values, round(uniqueness, 6) AS uniqueness, round(contact_share, 6) AS contact_share, is_key FROM prof",
     "external_ids": _PROFILE + f"""SELECT object_id, field, value FROM cells JOIN prof USING (field) WHERE is_key
         QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY CASE WHEN {_IDNAME} AND NOT {_KEYNAME} THEN 0 WHEN NOT {_KEYNAME} THEN 1 ELSE 2 END, uniqueness DESC, field) = 1""",
