@@ -41,6 +41,18 @@ def backfill_worklist(cases: DataFrame, attempts: DataFrame, key: str, order: Se
     return cases.join(attempts.select(key).distinct(), key, "left_anti").orderBy(*order).limit(size)
 
 
+def backfill_batch(cases: DataFrame, attempts: DataFrame, key: str, order: Sequence[str], size: int) -> DataFrame:
+    """The next bounded batch with ``more``, whether cases are left behind it; so a run can be broken off and go on."""
+    ahead = backfill_worklist(cases, attempts, key, order, size + 1).withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # size + 1 rows
+    return ahead.where(F.col("_n") <= size).withColumn("more", ahead.agg(F.count("*") > size).scalar()).drop("_n")
+
+
+def backfill_marks(batch: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, marker) to append to the attempts after a batch: ``found`` for cases that ``found`` has, ``absent`` for the others, so that neither is tried again."""
+    hit = found.select(key).distinct().withColumn("_f", F.lit(True))
+    return batch.select(key).join(hit, key, "left").select(key, F.when(F.col("_f"), "found").otherwise("absent").alias("marker"))
+
+
 def new_names_curve(df: DataFrame, name: str, by: str, ties: Sequence[str], width: int) -> DataFrame:
     """(bucket, new_names): names seen for the first time in each bucket of ``width`` rows in order; buckets without are 0."""
     ordered = numbered(df, [], by, ties, "_n").withColumn("bucket", F.floor((F.col("_n") - 1) / width))

@@ -38,6 +38,28 @@ def parse_policy(rules: Sequence[Mapping[str, object]], columns: Sequence[str])
     return out
 
 
+def load_policy(text: str, columns: Sequence[str], priorities: Sequence[str] | None = None) -> list[Rule]:
+    """Rules of a YAML document: a list, or a mapping with a list under ``rules``. What a rule has beside ``id`` and ``when`` is its outcome; ``sla_hours`` counts as ``hours``, and a ``priority`` must be among ``priorities`` where these are given. What is no such document fails by name."""
+    import yaml
+
+    try:
+        doc = yaml.safe_load(text)
+    except yaml.YAMLError as e:
+        raise ValueError(f"the policy is no YAML: {e}") from e
+    listed = doc.get("rules") if isinstance(doc, dict) else doc
+    if not isinstance(listed, list) or not all(isinstance(r, dict) for r in listed):
+        raise ValueError("the policy has no list of rules")
+    rules = []
+    for r in listed:
+        then = {("hours" if k == "sla_hours" else k): v for k, v in r.items() if k not in ("id", "when")}
+        if "hours" in then and (isinstance(then["hours"], bool) or not isinstance(then["hours"], (int, float))):
+            raise ValueError(f"rule {r.get('id')}: hours must be a number")
+        if priorities is not None and then.get("priority") not in priorities:
+            raise ValueError(f"rule {r.get('id')}: priority must be one of {list(priorities)}")
+        rules.append({"id": r.get("id"), "when": r.get("when") or {}, "then": then})
+    return parse_policy(rules, columns)
+
+
 def evaluate(policy: Sequence[Rule], output: str) -> Column:
     """The value of ``output`` of the first rule that matches, ``id`` for its id. A null never matches a listed condition, so the result is total."""
     out = None

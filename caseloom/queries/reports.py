@@ -12,6 +12,10 @@ from caseloom.sources.objects import synthetic_orders, webhook_messages
 from caseloom.sources.tables import table
 
 
+_REPORTED = (("category", "gold_category"), ("outcome", "gold_desired_outcome"), ("severity", "gold_severity_signal"), ("emotion", "gold_emotion_signal"))
+_ALLOWED = ("image/jpeg", "image/png", "image/webp", "application/pdf", "audio/ogg", "audio/mpeg", "audio/mp4", "text/plain")
+
+
 def register(spark: SparkSession, folder: str) -> DataFrame:
     """Register of customers: orders, least price, latest status; the newest 200 of them, which is the report's limit."""
     c, o = table(spark, folder, "customer"), table(spark, folder, "orders")
@@ -43,6 +47,23 @@ def case_report(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("id", F.concat_ws(" | ", *[F.concat(F.lit(f"{n}: "), stated(f)) for n, f in (("category", "gold_category"), ("outcome", "gold_desired_outcome"), ("severity", "gold_severity_signal"), ("emotion", "gold_emotion_signal"))]).alias("report"))
 
 
+def case_report_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of each complaint with a category as a page: a definition list in fixed order, values escaped, "not stated" where blank."""
+    c = table(spark, folder, "cfpb_labels").where("gold_category IS NOT NULL")
+    escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    rows = [F.concat(F.lit(f"<dt>{n}</dt><dd>"), escaped(F.coalesce(F.nullif(F.trim(F.col(f)), F.lit("")), F.lit("not stated"))), F.lit("</dd>")) for n, f in _REPORTED]
+    return c.select("id", F.concat(F.lit("<!doctype html><dl>"), *rows, F.lit("</dl>")).alias("html"))
+
+
+def attachment_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages whose attachments an edge takes: every media type is listed, none is over 10 MB, all together are not over 25 MB; counted by channel with the reason of the first refusal."""
+    a = table(spark, folder, "inbound_message").select("message_id", "channel", F.explode("attachments").alias("a"))
+    size = F.coalesce(F.length("a.data"), F.lit(0)).cast("long")
+    per = a.groupBy("message_id", "channel").agg(F.bool_and(F.coalesce(F.col("a.mime").isin(*_ALLOWED), F.lit(False))).alias("listed"), F.max(size).alias("largest"), F.sum(size).alias("total"))
+    verdict = F.when(~F.col("listed"), "media type").when(F.col("largest") > 10_000_000, "file too large").when(F.col("total") > 25_000_000, "message too large").otherwise("taken")
+    return per.groupBy("channel", verdict.alias("verdict")).agg(F.count("*").alias("messages"))
+
+
 def case_references(spark: SparkSession, folder: str) -> DataFrame:
     """Short reference of every case and the model tag of its latest document's source."""
     d = table(spark, folder, "documents").where("case_id IS NOT NULL")
@@ -138,7 +159,7 @@ def synthetic_truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    register, review_queue, case_review, case_report, case_references, webhook_flatten, highlighted_spans, grounded_contradictions, pending_questions, case_documents, undeduped_variants, object_lookup, json_guard, layer_fallback, low_values, upload_limits, synthetic_truth,
+    register, review_queue, case_review, case_report, case_report_html, attachment_limits, case_references, webhook_flatten, highlighted_spans, grounded_contradictions, pending_questions, case_documents, undeduped_variants, object_lookup, json_guard, layer_fallback, low_values, upload_limits, synthetic_truth,
 )}
 
 _NAME = "trim(regexp_replace(lower(head), '[^a-z0-9]+', '_', 'g'), '_')"
@@ -154,6 +175,11 @@ SQL = {
     "case_report": """
         SELECT id, 'category: ' || coalesce(nullif(trim(gold_category), ''), 'not stated') || ' | outcome: ' || coalesce(nullif(trim(gold_desired_outcome), ''), 'not stated')
         || ' | severity: ' || coalesce(nullif(trim(gold_severity_signal), ''), 'not stated') || ' | emotion: ' || coalesce(nullif(trim(gold_emotion_signal), ''), 'not stated') AS report FROM cfpb_labels WHERE gold_category IS NOT NULL""",
+    "case_report_html": "SELECT id, '<!doctype html><dl>' || " + " || ".join(f"'<dt>{n}</dt><dd>' || replace(replace(replace(coalesce(nullif(trim({f}), ''), 'not stated'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</dd>'" for n, f in _REPORTED) + " || '</dl>' AS html FROM cfpb_labels WHERE gold_category IS NOT NULL",
+    "attachment_limits": f"""
+        WITH a AS (SELECT message_id, channel, unnest(attachments) AS a FROM inbound_message),
+        p AS (SELECT message_id, channel, bool_and(coalesce(a.mime IN {_ALLOWED}, false)) AS listed, max(coalesce(octet_length(a.data), 0)) AS largest, sum(coalesce(octet_length(a.data), 0)) AS total FROM a GROUP BY 1, 2)
+        SELECT channel, CASE WHEN NOT listed THEN 'media type' WHEN largest > 10000000 THEN 'file too large' WHEN total > 25000000 THEN 'message too large' ELSE 'taken' END AS verdict, count(*) AS messages FROM p GROUP BY 1, 2""",
     "case_references": """
         SELECT case_id, 'C-' || upper(right(string_split(case_id, '-')[-1], 8)) AS reference, CASE max_by(source, (received_at, doc_id)) WHEN 'voice_transcript' THEN 'asr' WHEN 'scanned_letter' THEN 'ocr' ELSE 'text' END AS model
         FROM documents WHERE case_id IS NOT NULL GROUP BY 1""",

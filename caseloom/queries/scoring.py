@@ -134,6 +134,13 @@ def label_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("field", F.col("source").alias("source_a"), "source_b").agg(F.count("*").alias("both"), F.count_if(F.col("label") == F.col("label_b")).alias("agree"))
 
 
+def label_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of each field by source, the gold ones and the model's, and how many of either meet another label on the other side."""
+    x = _long(spark, folder)
+    each = F.array(F.struct(F.lit("gold").alias("source"), F.col("gold").alias("label"), F.col("predicted").alias("other")), F.struct(F.lit("model").alias("source"), F.col("predicted").alias("label"), F.col("gold").alias("other")))
+    return x.select("field", F.inline(each)).where("label IS NOT NULL").groupBy("field", "source", "label").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("other")).alias("disputed"))
+
+
 def version_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Accuracy of old and new predictions against old and new labels."""
     x = _labels(spark, folder).select("id", F.inline(F.array(F.struct(F.lit("new").alias("gold_version"), F.col("category").alias("gold")), F.struct(F.lit("old").alias("gold_version"), F.when(F.col("id") % 13 == 0, "other").otherwise(F.col("category")).alias("gold")))), "pred_category", "category")
@@ -245,7 +252,7 @@ def rules_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     unpivoted_labels, calibration_fit, calibrated_confidence, loo_tau, accepted_curve, threshold_sweep, error_bounds, field_accuracy, zero_edit, edit_breakdown, confusion_topk, majority_baseline, class_recall,
-    label_agreement, version_matrix, label_mask, verdicts, planted_probes, stratified_first_k, key_fact_recall, gold_predictions, latency_quantiles, mode_agreement, questions_histogram, questions_median, rules_sla, rules_audit,
+    label_agreement, label_distribution, version_matrix, label_mask, verdicts, planted_probes, stratified_first_k, key_fact_recall, gold_predictions, latency_quantiles, mode_agreement, questions_histogram, questions_median, rules_sla, rules_audit,
 )}
 
 _X = "WITH x AS (" + " UNION ALL ".join(
@@ -281,6 +288,8 @@ SQL = {
     "class_recall": _X + " SELECT field, gold, count(*) AS n, count(*) FILTER (predicted = gold) AS found FROM x WHERE gold IS NOT NULL GROUP BY 1, 2",
     "label_agreement": _X + """, l AS (SELECT id, field, 'gold' AS source, gold AS label FROM x UNION ALL SELECT id, field, 'model', predicted FROM x UNION ALL SELECT id, field, 'rater', nullif(predicted, 'other') FROM x), k AS (SELECT * FROM l WHERE label IS NOT NULL)
         SELECT a.field, a.source AS source_a, b.source AS source_b, count(*) AS "both", count(*) FILTER (a.label = b.label) AS agree FROM k a JOIN k b ON a.id = b.id AND a.field = b.field AND a.source < b.source GROUP BY 1, 2, 3""",
+    "label_distribution": _X + """, l AS (SELECT field, 'gold' AS source, gold AS label, predicted AS other FROM x UNION ALL SELECT field, 'model', predicted, gold FROM x)
+        SELECT field, source, label, count(*) AS n, count(*) FILTER (label <> other) AS disputed FROM l WHERE label IS NOT NULL GROUP BY 1, 2, 3""",
     "version_matrix": _X + """, c AS (SELECT id, gold, predicted FROM x WHERE field = 'category'),
         g AS (SELECT id, 'new' AS gold_version, gold, predicted FROM c UNION ALL SELECT id, 'old', CASE WHEN id % 13 = 0 THEN 'other' ELSE gold END, predicted FROM c),
         p AS (SELECT gold_version, gold, 'new' AS pred_version, predicted AS pred FROM g UNION ALL SELECT gold_version, gold, 'old', CASE WHEN id % 17 = 0 THEN 'other' ELSE predicted END FROM g)

@@ -62,7 +62,7 @@ def with_attachment(messages: DataFrame, files: DataFrame | None = None) -> Data
 
 
 def unzip(spark: SparkSession, path: str) -> DataFrame:
-    """Exports of ZIP files: (path, transcript, files), ``files`` having (filename, length).
+    """Exports of ZIP files: (path, transcript, files), ``files`` having (filename, length, data).
 
     The transcript is ``_chat.txt``, else the shortest-named text file. Of files of
     one name that beside the transcript wins, else the first. A damaged archive
@@ -85,14 +85,14 @@ def unzip(spark: SparkSession, path: str) -> DataFrame:
                             for n in names:
                                 folder, _, base = n.rpartition("/")
                                 if n != chosen and (base not in files or folder == home):
-                                    files[base] = z.getinfo(n).file_size
+                                    files[base] = z.read(n)
                 except zipfile.BadZipFile:
                     pass
-                rows.append((p, text, [{"filename": k, "length": v} for k, v in files.items()]))
+                rows.append((p, text, [{"filename": k, "length": len(v), "data": v} for k, v in files.items()]))
             yield pd.DataFrame(rows, columns=["path", "transcript", "files"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(read, "path string, transcript string, files array<struct<filename:string,length:long>>")
+    return files.mapInPandas(read, "path string, transcript string, files array<struct<filename:string,length:long,data:binary>>")
 
 
 def parsed_stamps(messages: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import email.parser
+import email.policy
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +89,26 @@ def webhook_messages(payloads: DataFrame, column: str) -> DataFrame:
     return m.where("m.type = 'text' AND m.text.body IS NOT NULL").select(F.col("m.from").alias("sender"), F.col("m.text.body").alias("text"))
 
 
+def multipart(requests: DataFrame, key: str, content_type: str, body: str) -> DataFrame:
+    """Parts (key, name, filename, mime, content) of multipart form bodies, in order; other bodies, and null ones, have none."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, kind, raw in zip(pdf["key"], pdf["kind"], pdf["body"]):
+                if not kind or raw is None or not kind.lower().startswith("multipart/"):
+                    continue
+                message = email.parser.BytesParser(policy=email.policy.HTTP).parsebytes(b"Content-Type: " + kind.encode() + b"\r\n\r\n" + bytes(raw))
+                for part in message.iter_parts():
+                    rows.append((k, part.get_param("name", header="content-disposition"), part.get_filename(), part.get_content_type(), part.get_payload(decode=True) or b""))
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "name", "filename", "mime", "content"])
+
+    kind = dict(requests.dtypes)[key]
+    named = requests.select(F.col(key).alias("key"), F.col(content_type).alias("kind"), F.col(body).alias("body"))
+    return named.mapInPandas(read, f"key {kind}, name string, filename string, mime string, content binary").withColumnRenamed("key", key)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Dropped files as messages (path, sha256, mime, text, length): text files by their content, others as attachments."""
     from caseloom.functions.text import media_type

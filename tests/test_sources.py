@@ -55,7 +55,7 @@ def test_zip(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(b.getvalue())
     (tmp_path / "b.zip").write_bytes(b"no zip")
     got = sorted(chat.unzip(spark, str(tmp_path)).collect(), key=lambda r: r.path)
-    assert got[0].transcript == CHAT and [tuple(f) for f in got[0].files] == [("plan-7.png", 1)] and got[1].transcript is None
+    assert got[0].transcript == CHAT and [tuple(f) for f in got[0].files] == [("plan-7.png", 1, b"1")] and got[1].transcript is None
 
 
 def records(df):
@@ -113,3 +113,10 @@ def test_webhook_files_and_generator(spark, tmp_path):
     assert a.exceptAll(objects.synthetic_orders(spark, 2000)).count() == 0
     assert 0.14 < a.where("shared").count() / 2000 < 0.22 and objects.synthetic_orders(spark, 0).count() == 0
     assert a.select(F.count_distinct("order_id")).first()[0] == 2000
+
+
+def test_multipart(spark, tmp_path):
+    body = b"--edge\r\nContent-Disposition: form-data; name=\"text\"\r\n\r\nthe tap drips\r\n--edge\r\nContent-Disposition: form-data; name=\"file\"; filename=\"tap.png\"\r\nContent-Type: image/png\r\n\r\n\x89PNG\x00\r\n--edge--\r\n"
+    df = spark.createDataFrame([(1, "multipart/form-data; boundary=edge", bytearray(body)), (2, "text/plain", bytearray(b"x")), (3, None, None)], "id long, content_type string, body binary")
+    got = [(r.id, r.name, r.filename, r.mime, bytes(r.content)) for r in objects.multipart(df, "id", "content_type", "body").collect()]
+    assert got == [(1, "text", None, "text/plain", b"the tap drips"), (1, "file", "tap.png", "image/png", b"\x89PNG\x00")]
