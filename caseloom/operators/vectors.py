@@ -172,10 +172,14 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> Dat
     Alternating large-star and small-star steps join each node to ever smaller
     ids. A round sends each edge a constant number of times, a hub's neighbours
     are aggregated before the exchange, and the lineage is cut in the shared
-    folder. It fails rather than end early.
+    folder. Rounds end when the edges' number and hashes stay; it fails rather
+    than end early.
     """
     pairs = edges.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).where(F.col("u") != F.col("v"))
     pairs = cut(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    hashed = F.xxhash64("u", "v")
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(hashed), F.sum(F.shiftright(hashed, 16))).first()
+    before = mark(pairs)
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -184,11 +188,11 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 40) -> Dat
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low2.select("u", F.col("m").alias("v")))
         nxt = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        changed = nxt.join(pairs, ["u", "v"], "left_anti").limit(1).count() + pairs.join(nxt, ["u", "v"], "left_anti").limit(1).count()
-        pairs = nxt
-        if not changed:
+        pairs, now = nxt, mark(nxt)
+        if now == before:
             named = nodes.select(F.col("id")).distinct().join(pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "id", "left")
             return named.select("id", F.coalesce("component", "id").alias("component"))
+        before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if the optimizer bounds its size by this.
@@ -19,32 +24,32 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if planned_bytes(df) <= limit else df
 
 
-def shared_folder(df: DataFrame) -> str | None:
-    """The folder for checkpoints that the session names, if any."""
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None)
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder, which survives the loss of executors.
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and with its lineage cut: a table written to the shared folder, which survives the loss of executors.
 
     The folder is read from ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) one is made under the system's temporary folder.
+    (tests, a single machine) one is made under the system's temporary folder,
+    and removed at the end. A checkpoint would compute the frame twice.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = shared_folder(df)
-        if folder is None:
-            import atexit
-            import shutil
-            import tempfile
-
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="caseloom-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager)
+    path = f"{_work_folder(spark)}/caseloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _work_folder(spark: SparkSession) -> str:
+    global _local_folder
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="caseloom-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
+    return _local_folder
+
+
+_local_folder: str | None = None
 
 
 def cores(df: DataFrame, tasks_per_core: int = 4) -> int:
