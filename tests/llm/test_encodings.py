@@ -1,5 +1,6 @@
 """Wrong decodings made on purpose, undone; clean texts left alone."""
 
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -75,3 +76,14 @@ def test_operator_edges(spark, model):
     assert repaired(df.limit(0), model).count() == 0
     none = fit_model(df.limit(0))
     assert repaired(df, none).where("row_id = 2").count() == 0
+
+
+def test_every_row_counts(spark):
+    texts = [f"Order {i} came late to the café\tin Nº{i % 7}, she said\n" + "with jalapeño" * (i % 400 == 0) for i in range(1600)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1600, "Weâ€™d paid", "en"), (1601, None, "en"), (1602, "", None)]
+    fitted = fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), stratum=F.col("lang"))
+    counts = Counter()
+    E.count_grams(counts, [(w, 1) for t in texts for w in t.split()])
+    whole = E.NgramModel.build(counts)
+    assert (fitted.total, fitted.one, fitted.two, fitted.three) == (whole.total, whole.one, whole.two, whole.three)
+    assert E.repair_text(fitted, "with jalapeño at the café") == ("clean", "with jalapeño at the café")
